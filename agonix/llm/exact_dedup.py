@@ -32,7 +32,11 @@ _SETTINGS = {
 
 
 def _normalised():
-    return F.translate(F.coalesce(F.col("text"), F.lit("")), BLANKS, "")
+    """The text without blanks; replace() works on bytes, several times as fast as translate()."""
+    out = F.coalesce(F.col("text"), F.lit(""))
+    for blank in BLANKS:
+        out = F.replace(out, F.lit(blank), F.lit(""))
+    return out
 
 
 def _rows(df: DataFrame) -> DataFrame:
