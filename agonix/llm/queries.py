@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .common import table
 from .exact_dedup import dedup_exact
 from .packing import pack, pieces
+from .secrets import count_of, listed, scan
 from .toxicity import fit, held_out, training_rows
 from .warc import archive_round_trip
 
@@ -21,6 +22,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    counts = [count_of("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed("spans", base_only=True), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -43,6 +50,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_secret_scan": op2_secret_scan,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
