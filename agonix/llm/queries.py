@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import table
 from .exact_dedup import dedup_exact
+from .line_dedup import dedup_lines
 from .packing import pack, pieces
 from .secrets import count_of, listed, scan
 from .toxicity import fit, held_out, training_rows
@@ -28,6 +29,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("spans", base_only=True), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,6 +57,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
@@ -58,6 +65,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), k AS (
+  SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), j AS (
+  SELECT k.doc_id, k.pos, k.line, (f.key IS NOT NULL AND f.keeper <> k.doc_id) AS gone FROM k LEFT JOIN f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""",
     "op8_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n, length(coalesce(text, '')) AS c FROM documents
