@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .common import table
 from .exact_dedup import dedup_exact
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack, pieces
 from .secrets import count_of, listed, scan
 from .toxicity import fit, held_out, training_rows
@@ -34,6 +35,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = archive_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
