@@ -32,7 +32,7 @@ from .common import text_or_empty, tokenizer_path
 
 #: Texts beyond this many code points are cut into parts of PART.
 LONG, PART = 1 << 16, 1 << 15
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 500_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 _LATIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")  # lower-case, composed, one letter class
@@ -47,6 +47,18 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """word -> packed ids; a word that isn't there yet is encoded on the way."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self[word] = self.encoder.word(word)
+        return packed
+
+
 class Encoder:
     """Whole-text encoding by words, and joins of separately encoded parts."""
 
@@ -61,7 +73,7 @@ class Encoder:
         self.tok.no_padding()
         self.model = self.tok.model
         self.symbols = _byte_symbols()
-        self.cache: dict[str, list[int]] = {}
+        self.cache = _Words(self)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -74,35 +86,26 @@ class Encoder:
         """The library's own encoding of a whole text."""
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word that isn't in the cache."""
+    def word(self, word: str) -> bytes:
+        """Packed ids of one word, without the cache."""
         core = word.rstrip(_TAIL)
         low = core.lower()
-        if core and _LATIN.fullmatch(low):
-            ids = self.cache.get(low)
-            if ids is None:
-                ids = self.cache[low] = [t.id for t in self.model.tokenize(low if low.isascii() else "".join(map(self.symbols.get, low.encode())))]
-            if len(core) < len(word):
-                ids = ids + self._known(word[len(core) :])
-        else:
-            ids = self.plain(word)
-        self.cache[word] = ids
-        return ids
-
-    def _known(self, word: str) -> list[int]:
-        ids = self.cache.get(word)
-        return self._word(word) if ids is None else ids
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, equal to plain()'s."""
+        if not core or not _LATIN.fullmatch(low):
+            return _pack(self.plain(word))
+        if low != word:  # a letter run ends where these signs begin, so both parts stand for themselves
+            return self.cache[low] + (self.cache[word[len(core) :]] if len(core) < len(word) else b"")
+        return _pack([t.id for t in self.model.tokenize(low if low.isascii() else "".join(map(self.symbols.get, low.encode())))])
+
+    def packed(self, text: str) -> bytes:
+        """Packed ids of a whole text, equal to plain()'s."""
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
-        out: list[int] = []
-        get, miss = self.cache.get, self._word
-        for word in _PLAIN_SPACE.split(text) if _ODD_SPACE.search(text) else text.split():
-            ids = get(word)
-            out += miss(word) if ids is None else ids
-        return out
+        words = _PLAIN_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
+        return b"".join(map(self.cache.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return unpack(self.packed(text)).tolist()
 
     def spans(self, text: str, at: int = 0) -> "Tokens":
         """Ids with the places of their code points; ``at`` is where the text begins."""
@@ -192,19 +195,24 @@ def encoder_of(path: str, column: str):
         encoder = Encoder.of(path)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(column))
-            yield with_column(batch, "ids", pa.array([_pack(encoder.encode(x or "")) for x in texts.to_pylist()], pa.binary()))
+            yield with_column(batch, "ids", pa.array([encoder.packed(x or "") for x in texts.to_pylist()], pa.binary()))
 
     return run
 
 
-def encode(docs: DataFrame, column: str = "text", path: str | None = None, drop_text: bool = False, long: int = LONG, part: int = PART) -> DataFrame:
-    """The documents with ``ids``: their whole text's token ids, packed as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, column: str = "text", path: str | None = None, then: tuple | None = None, long: int = LONG, part: int = PART) -> DataFrame:
+    """The documents with ``ids``: their whole text's token ids, packed as little-endian unsigned 32-bit integers.
+
+    ``then``: a mapInArrow function over these rows and its schema, run in the same pass."""
     path = path or tokenizer_path()
     docs = docs.drop("ids") if "ids" in docs.columns else docs
     size = F.length(text_or_empty(column))
-    short = docs.where(size <= long).mapInArrow(encoder_of(path, column), _add(docs.schema, T.StructField("ids", T.BinaryType())))
-    out = short.unionByName(_encode_long(docs.where(size > long), column, path, part))
-    return out.drop(column) if drop_text else out
+    schema = _add(docs.schema, T.StructField("ids", T.BinaryType()))
+    code = encoder_of(path, column)
+    follow, out = then or ((lambda batches: batches), schema)
+    short = docs.where(size <= long).mapInArrow(lambda batches: follow(code(batches)), out)
+    joined = _encode_long(docs.where(size > long), column, path, part)
+    return short.unionByName(joined.mapInArrow(follow, out) if then else joined)
 
 
 def _encode_long(docs: DataFrame, column: str, path: str, part: int) -> DataFrame:
@@ -249,15 +257,28 @@ def _encode_parts(path: str):
     return run
 
 
-def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows with ``decoded``: the library's text of their packed ``ids``, special tokens kept. Null ids: empty."""
-    path = path or tokenizer_path()
+def decoder_of(path: str, drop: tuple[str, ...] = ()):
+    """A mapInArrow function that puts the text of each row's ``ids`` in the column ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = Encoder.of(path).tok
         for batch in batches:
             packed = batch.column(batch.schema.names.index("ids"))
             texts = [tok.decode(unpack(x.as_py() or b"").tolist(), skip_special_tokens=False) for x in packed]
+            batch = batch.select([n for n in batch.schema.names if n not in drop])
             yield with_column(batch, "decoded", pa.array(texts, pa.string()))
 
-    return coded.mapInArrow(run, _add(coded.schema, T.StructField("decoded", T.StringType())))
+    return run
+
+
+def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows with ``decoded``: the library's text of their packed ``ids``, special tokens kept. Null ids: empty."""
+    return coded.mapInArrow(decoder_of(path or tokenizer_path()), _add(coded.schema, T.StructField("decoded", T.StringType())))
+
+
+def round_trip(docs: DataFrame, column: str = "text", path: str | None = None) -> DataFrame:
+    """The documents with ``ids`` and ``decoded`` and without their text, in one pass."""
+    path = path or tokenizer_path()
+    rest = [f for f in docs.schema.fields if f.name not in (column, "ids", "decoded")]
+    schema = T.StructType([*rest, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return encode(docs, column, path, then=(decoder_of(path, drop=(column,)), schema))

@@ -35,14 +35,13 @@ _PIECE = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """row, doc_id, piece, start, length, ids_crc32 and, if wanted, the packed ids of every piece."""
-    coded = encode(docs.select("doc_id", "text"), path=path or tokenizer_path(), drop_text=True)
     schema = _PIECE if with_ids else T.StructType(_PIECE.fields[:-1])
     tail = np.array([end_id], dtype="<u4")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema.fields}
-            for row, doc, packed in zip(*(batch.column(n) for n in ("row", "doc_id", "ids")), strict=True):
+            for row, doc, packed in zip(*(batch.column(batch.schema.names.index(n)) for n in ("row", "doc_id", "ids")), strict=True):
                 ids = np.concatenate([unpack(packed.as_py()), tail])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity].tobytes()
@@ -51,7 +50,8 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | N
                         out[f.name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[n], pa.int64()) for n in ("start", "length", "ids_crc32")), *([pa.array(out["ids"], pa.binary())] if with_ids else [])], names=schema.names)
 
-    return coded.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(split, schema)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return encode(rows, path=path or tokenizer_path(), then=(split, schema))
 
 
 def _ranked(df: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
