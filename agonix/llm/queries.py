@@ -11,6 +11,8 @@ from .ann import search
 from .bpe import round_trip
 from .common import table
 from .exact_dedup import dedup_exact
+from .html_extract import extract
+from .html_extract import fit as fit_pages
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack, pieces
@@ -36,6 +38,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = extract(pages, fit_pages(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
