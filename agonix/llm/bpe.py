@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty, tokenizer_path
+from .common import small_batches, text_or_empty, tokenizer_path
 
 #: Texts beyond this many code points are cut into parts of PART.
 LONG, PART = 1 << 16, 1 << 15
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 _LATIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")  # lower-case, composed, one letter class
@@ -205,17 +205,17 @@ def encode(docs: DataFrame, column: str = "text", path: str | None = None, then:
 
     ``then``: a mapInArrow function over these rows and its schema, run in the same pass."""
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids") if "ids" in docs.columns else docs
     size = F.length(text_or_empty(column))
     schema = _add(docs.schema, T.StructField("ids", T.BinaryType()))
     code = encoder_of(path, column)
     follow, out = then or ((lambda batches: batches), schema)
     short = docs.where(size <= long).mapInArrow(lambda batches: follow(code(batches)), out)
-    joined = _encode_long(docs.where(size > long), column, path, part)
-    return short.unionByName(joined.mapInArrow(follow, out) if then else joined)
+    return short.unionByName(_encode_long(docs.where(size > long), column, path, part, follow, out))
 
 
-def _encode_long(docs: DataFrame, column: str, path: str, part: int) -> DataFrame:
+def _encode_long(docs: DataFrame, column: str, path: str, part: int, follow, out: T.StructType) -> DataFrame:
     """Parts of each long text, dealt out evenly and encoded, then joined by document."""
     names = docs.columns
     keyed = docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
@@ -226,7 +226,6 @@ def _encode_long(docs: DataFrame, column: str, path: str, part: int) -> DataFram
     parts = parts.repartition("_key", "_n")
     ints = T.ArrayType(T.LongType())
     coded = parts.mapInArrow(_encode_parts(path), T.StructType([*parts.schema.fields, *(T.StructField(n, ints) for n in ("_ids", "_start", "_end"))]))
-    schema = _add(docs.schema, T.StructField("ids", T.BinaryType()))
 
     def whole(table: pa.Table) -> pa.Table:
         """One document's parts: as much as one cell of the input holds."""
@@ -238,9 +237,10 @@ def _encode_long(docs: DataFrame, column: str, path: str, part: int) -> DataFram
         ids = encoder.tree(tokens, "".join(texts), cuts).ids
         row = table["_row"].slice(0, 1).combine_chunks()
         row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
-        return pa.table([*(row.field(n) for n in names), pa.array([_pack(ids)], pa.binary())], names=[*names, "ids"])
+        coded_row = pa.RecordBatch.from_arrays([*(row.field(n) for n in names), pa.array([_pack(ids)], pa.binary())], names=[*names, "ids"])
+        return pa.Table.from_batches(list(follow(iter([coded_row]))))
 
-    return coded.groupBy("_key").applyInArrow(whole, schema)
+    return coded.groupBy("_key").applyInArrow(whole, out)
 
 
 def _encode_parts(path: str):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import with_column
-from .common import BLANKS, stored
+from .common import BLANKS, small_batches, stored
 
 
 
@@ -98,6 +98,7 @@ class LineRuns:
 def drops(docs: DataFrame, column: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
     """doc_id and ``gone``: the hashes of the lines that the document loses; only documents that lose any."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), column)
     held = stored(held.mapInArrow(_hashes(min_chars, column), "doc_id long, h binary"), "line-hashes")
     borders = held.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import with_column
-from .common import tokenizer_path
+from .common import small_batches, tokenizer_path
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -79,6 +79,7 @@ class Scanner:
 def scan(docs: DataFrame, column: str = "text", path: str | None = None, ratio: float = 2.2, least: int = 16) -> DataFrame:
     """The documents with ``spans``: kind, start and end of every secret in the whole text."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
+    small_batches(docs.sparkSession)
     docs = docs.drop("spans") if "spans" in docs.columns else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Look-alike letters of other scripts, and digits or signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ο": "o", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ı": "i", "ł": "l", "ø": "o"}
@@ -158,6 +158,7 @@ def fit(labelled: DataFrame, terms: int = 2000, sample: int = 20000, exceptions:
     """Learn from (doc_id, text, toxic). ``sample`` bounds the rows of the curve, taken by hash of doc_id.
 
     ``exceptions`` are phrases, folded here, whose matches don't count."""
+    small_batches(labelled.sparkSession)
     lexicon = learn_lexicon(labelled, terms)
     phrases = [fold(x) for x in (EXCEPTIONS if exceptions is None else exceptions)]
     known = labelled.where("toxic in (0, 1)").select(F.xxhash64("doc_id").alias("h"), F.col("toxic").cast("int").alias("toxic"), text_or_empty().alias("text"))

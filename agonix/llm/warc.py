@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, small_batches
 
 _CRLF = "\r\n"
 _HEADER = "\r\n".join(["WARC/1.1", "WARC-Type: %s", "WARC-Record-ID: <urn:uuid:%s>", "WARC-Target-URI: %s", "WARC-Payload-Digest: sha1:%s", "%sContent-Length: %s", "", ""])
@@ -103,6 +103,7 @@ def parsed(archive: DataFrame) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archive the pages in the shared folder and read them back."""
+    small_batches(pages.sparkSession)
     path = scratch(pages.sparkSession, "warc")
     write_archive(pages, path, min_bytes)
     return parsed(read_archive(pages.sparkSession, path))
