@@ -118,11 +118,12 @@ def _features(df: DataFrame, lexicon: dict[str, float], exceptions: list[str], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon, exceptions)
         for batch in batches:
-            f = np.array([scorer.features(x or "") for x in batch.column("text").to_pylist()], dtype=float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(f[:, 0]), pa.array(f[:, 1])], names=[*names, "dense", "total"])
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            f = np.array([scorer.features(x or "") for x in texts], dtype=float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(f[:, 0]), pa.array(f[:, 1])], names=[*names, "dense", "total"])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)) + ", dense double, total double"
-    return df.select(*names, "text").mapInArrow(run, schema)
+    return df.select(*names, *([] if "text" in names else ["text"])).mapInArrow(run, schema)
 
 
 class Model:
@@ -135,7 +136,7 @@ class Model:
         """The columns ``keep`` and ``score``."""
         kinds = [docs.schema[n].dataType.simpleString() for n in keep]
         a, b, c = self.curve
-        f = _features(docs.withColumn("text", text_or_empty()), self.lexicon, self.exceptions, keep, kinds)
+        f = _features(docs, self.lexicon, self.exceptions, keep, kinds)
         return f.select(*keep, (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("dense") + F.lit(c) * F.col("total"))))).alias("score"))
 
 
