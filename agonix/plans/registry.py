@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .base import ORACLES, QUERIES
+
+for _part in ("feature_queries", "rating_queries", "evaluation_queries", "profile_queries", "quality_queries", "identity_queries", "lifecycle_queries", "model_queries"):
+    importlib.import_module(f"{__package__}.{_part}")
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides' record, form, rest and head-to-head before every contest."""
+    return QUERIES["pre_contest_features"](spark, sf_dir)
