@@ -1 +1,164 @@
-"""Queries."""
+"""Queries of history aggregates, profiles, comparisons and rankings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agonix.operators import features as X
+from agonix.operators import profiles as P
+from agonix.sources.contests import SQL, accepted, contests, table
+
+from .base import query
+from .feature_queries import _FORM, _PRIOR, _RECORD
+
+
+def _teams(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("team"))
+
+
+def _regions(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
+    return table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("team"), "region")
+
+
+def _pairs(spark, sf_dir):
+    """Pairs of teams that met, lower key first or, for even sums, last."""
+    c = accepted(contests(spark, sf_dir)).select("side_a", "side_b").distinct()
+    even = (F.col("side_a") + F.col("side_b")) % 2 == 0
+    return c.select(F.when(even, F.col("side_b")).otherwise(F.col("side_a")).alias("team_a"), F.when(even, F.col("side_a")).otherwise(F.col("side_b")).alias("team_b")).distinct()
+
+
+def _history(spark, sf_dir):
+    return P.history(accepted(contests(spark, sf_dir)))
+
+
+def _agg(spark, sf_dir):
+    return P.team_aggregate(_history(spark, sf_dir), _teams(spark, sf_dir))
+
+
+HIST = SQL + """
+, hh AS (
+  SELECT acc.contest_id * 10 + leg AS leg_id, ts, name, side_a AS team, side_b AS opp, qa AS own, qb AS other, floor((qa + qb) / 2) AS fk, sp FROM acc JOIN legs USING (contest_id) UNION ALL
+  SELECT acc.contest_id * 10 + leg, ts, name, side_b, side_a, qb, qa, qa + qb - floor((qa + qb) / 2), sp FROM acc JOIN legs USING (contest_id)
+), h AS (SELECT *, own + other AS rounds, own > other AS won, CASE WHEN name IN ('LARGE', 'STANDARD', 'MEDIUM') THEN own + other ELSE 0 END AS fp, CASE WHEN name IN ('LARGE', 'STANDARD', 'MEDIUM') THEN own ELSE 0 END AS fw,
+  CASE WHEN sp THEN 2 ELSE 0 END AS cf, CASE WHEN sp AND own > other THEN 1 ELSE 0 END AS cw FROM hh),
+base AS (SELECT team, count(*) AS legs, avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, avg(own - other) AS avg_round_diff, sum(own) / sum(rounds) AS round_rate, sum(fw) / nullif(sum(fp), 0) AS full_rate, sum(fk) / sum(rounds) AS entry_rate, sum(cw)::DOUBLE / nullif(sum(cf), 0)::DOUBLE AS clutch_rate FROM h GROUP BY 1),
+nw AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY ts DESC, leg_id) AS r FROM h),
+form_h AS (SELECT team, avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE r <= 5) AS form5, avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE r <= 10) AS form10 FROM nw GROUP BY 1),
+per AS (SELECT team, name, count(*) AS n, avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM h GROUP BY 1, 2),
+spread AS (SELECT team, stddev_pop(rate) AS leg_spread, count(*) AS leg_kinds FROM per GROUP BY 1),
+agg AS (SELECT s_suppkey AS team, coalesce(legs, 0) AS legs, win_rate, avg_round_diff, round_rate, full_rate, entry_rate, clutch_rate, form5, form10, leg_spread, leg_kinds FROM supplier LEFT JOIN base ON team = s_suppkey LEFT JOIN form_h USING (team) LEFT JOIN spread USING (team)),
+prof AS (SELECT team, """ + ", ".join(f"coalesce(greatest(0.0, least(100.0, floor(({e}) + 0.5)))::DOUBLE, 50.0::DOUBLE) AS {n}" for n, e in (("aggression", "entry_rate * 100"), ("tempo", "50 + 4 * abs(avg_round_diff)"), ("control", "round_rate * 100"), ("utility", "full_rate * 100"), ("adaptability", "CASE WHEN leg_kinds >= 2 THEN 100 - 200 * leg_spread END"), ("clutch", "clutch_rate * 100"))) + """,
+  ((entry_rate IS NOT NULL)::INT + (avg_round_diff IS NOT NULL)::INT + (round_rate IS NOT NULL)::INT + (full_rate IS NOT NULL)::INT + (coalesce(leg_kinds, 0) >= 2)::INT + (clutch_rate IS NOT NULL)::INT) / 6.0::DOUBLE AS coverage, coalesce(1 - abs(win_rate - form10), 0.5) AS stability FROM agg),
+pairs AS (SELECT DISTINCT CASE WHEN (side_a + side_b) % 2 = 0 THEN side_b ELSE side_a END AS team_a, CASE WHEN (side_a + side_b) % 2 = 0 THEN side_a ELSE side_b END AS team_b FROM acc),
+pp AS (SELECT team_a, team_b, """ + ", ".join(f"a.{n} AS a_{n}, b.{n} AS b_{n}" for n in [*P.DIMENSIONS, "coverage", "stability"]) + """ FROM pairs JOIN prof a ON a.team = team_a JOIN prof b ON b.team = team_b)
+"""
+_LONG = " UNION ALL ".join(f"SELECT team_a, team_b, '{n}' AS dimension, a_{n} AS a, b_{n} AS b FROM pp" for n in P.DIMENSIONS)
+
+
+def _r(df, *cols, places: int = 8):
+    return df.withColumns({c: F.round(c, places) for c in cols})
+
+
+_AGG_COLS = ["win_rate", "avg_round_diff", "round_rate", "full_rate", "entry_rate", "clutch_rate", "form5", "form10", "leg_spread"]
+
+
+@query("team_aggregate", HIST + "SELECT team, legs, " + ", ".join(f"round({n}, 8) AS {n}" for n in _AGG_COLS) + " FROM agg")
+def q_agg(spark, sf_dir):
+    return _r(_agg(spark, sf_dir), *_AGG_COLS).select("team", "legs", *_AGG_COLS)
+
+
+@query("team_profile", HIST + "SELECT team, aggression, tempo, control, utility, adaptability, clutch, round(coverage, 8) AS coverage, round(stability, 8) AS stability FROM prof")
+def q_profile(spark, sf_dir):
+    return _r(P.team_profile(_agg(spark, sf_dir)), "coverage", "stability")
+
+
+@query("h2h_index", HIST + "SELECT team AS lo, opp AS hi, count(*) AS legs, count(*) FILTER (WHERE won) AS lo_wins, count(*) FILTER (WHERE own < other) AS hi_wins, round(avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0 END), 8) AS lo_rate, round(avg(own - other), 8) AS lo_diff FROM h WHERE team < opp GROUP BY 1, 2")
+def q_index(spark, sf_dir):
+    return _r(P.h2h_index(_history(spark, sf_dir)), "lo_rate", "lo_diff")
+
+
+@query("h2h_oriented", HIST + "SELECT team_a, team_b, count(h.team) AS legs, count(*) FILTER (WHERE won) AS a_wins, round(avg(own - other), 8) AS a_diff FROM pairs LEFT JOIN h ON h.team = team_a AND h.opp = team_b GROUP BY 1, 2")
+def q_oriented(spark, sf_dir):
+    return _r(P.h2h_oriented(P.h2h_index(_history(spark, sf_dir)), _pairs(spark, sf_dir)), "a_diff")
+
+
+_W = {"aggression": 0.2, "tempo": 0.1, "control": 0.25, "utility": 0.2, "adaptability": 0.1, "clutch": 0.15}
+
+
+@query("matchup_profile", HIST + f""", m AS (SELECT *, floor(greatest(0, 100 - 1.4 * ({' + '.join(f'abs(a_{n} - b_{n})' for n in _W)}) / 6) + 0.5)::DOUBLE AS similarity, {' + '.join(f'{w} * (a_{n} - b_{n})' for n, w in _W.items())} AS adv FROM pp),
+g AS (SELECT *, ({' + '.join(f'(CASE WHEN sign(a_{n} - b_{n}) = sign(round(adv, 9)) OR a_{n} = b_{n} THEN 1 ELSE 0 END)' for n in _W)}) / 6.0::DOUBLE AS agreement FROM m)
+SELECT team_a, team_b, similarity, round(adv, 6) AS advantage, round(agreement, 8) AS agreement, round(0.6 * agreement + 0.4 * (a_stability + b_stability) / 2, 6) AS confidence FROM g""")
+def q_matchup(spark, sf_dir):
+    m = P.matchup(P.team_profile(_agg(spark, sf_dir)), _pairs(spark, sf_dir))
+    return _r(_r(m, "agreement"), "advantage", "confidence", places=6).select("team_a", "team_b", "similarity", "advantage", "agreement", "confidence")
+
+
+@query("key_factors", HIST + f", l AS ({_LONG}), k AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY abs(a - b) DESC, dimension) AS r FROM l WHERE abs(a - b) >= 8) SELECT team_a, team_b, dimension AS factor, abs(a - b) AS impact, CASE WHEN a > b THEN 'A' ELSE 'B' END AS leader FROM k WHERE r <= 4")
+def q_factors(spark, sf_dir):
+    return P.key_factors(P.team_profile(_agg(spark, sf_dir)), _pairs(spark, sf_dir))
+
+
+@query("compare_dimensions", HIST + f", l AS ({_LONG}) SELECT *, abs(a - b) AS magnitude, CASE WHEN abs(a - b) < 3 THEN 'none' WHEN abs(a - b) < 8 THEN 'slight' WHEN abs(a - b) < 16 THEN 'moderate' ELSE 'strong' END AS tier, CASE WHEN abs(a - b) < 3 THEN 'even' WHEN a > b THEN 'A' ELSE 'B' END AS advantage FROM l")
+def q_compare(spark, sf_dir):
+    return P.compare(P.team_profile(_agg(spark, sf_dir)), _pairs(spark, sf_dir))
+
+
+@query("compare_legs", HIST + """, j AS (SELECT team_a, team_b, a.name, 100 * a.rate AS ra, 100 * b.rate AS rb, round(100 * a.rate - 100 * b.rate, 6) AS gap FROM pairs JOIN per a ON a.team = team_a JOIN per b ON b.team = team_b AND b.name = a.name)
+SELECT team_a, team_b, count(*) AS shared, count(*) FILTER (WHERE gap >= 5) AS favour_a, count(*) FILTER (WHERE gap <= -5) AS favour_b, count(*) FILTER (WHERE abs(gap) < 5) AS close,
+  arg_min(name, (-abs(gap), name)) AS largest_gap, arg_min(name, (abs(gap), name)) AS most_even FROM j GROUP BY 1, 2""")
+def q_legs(spark, sf_dir):
+    return P.compare_legs(_history(spark, sf_dir), _pairs(spark, sf_dir)).drop("avg_a", "avg_b")
+
+
+@query("profile_rankings", HIST + """, t AS (SELECT prof.team, r_name AS region, round(0.35 * 100 * coalesce(win_rate, 0.5) + 0.25 * 100 * coalesce(form10, 0.5) + 0.2 * adaptability + 0.15 * 100 * stability + 0.05 * clutch, 4) AS score
+  FROM prof JOIN agg USING (team) JOIN supplier ON s_suppkey = prof.team JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT team, region, score, row_number() OVER (ORDER BY score DESC, team) AS rank, row_number() OVER (PARTITION BY region ORDER BY score DESC, team) AS region_rank,
+  (SELECT arg_min(name, (-round(rate, 9), name)) FROM per WHERE per.team = t.team) AS strongest, (SELECT arg_min(name, (round(rate, 9), name)) FROM per WHERE per.team = t.team) AS weakest FROM t""")
+def q_prank(spark, sf_dir):
+    a = _agg(spark, sf_dir)
+    return P.profile_rankings(a, P.team_profile(a), _regions(spark, sf_dir))
+
+
+_STATE = SQL + _FORM + f""", rec AS (SELECT s.contest_id, s.side, s.team, s.ts, s.level, {_RECORD} {_PRIOR} GROUP BY 1, 2, 3, 4, 5),
+z AS (SELECT rec.*, last5_win_rate, last10_win_rate, row_number() OVER (PARTITION BY team ORDER BY rec.ts DESC, contest_id DESC) AS rn FROM rec JOIN form USING (contest_id, side, team)),
+st AS (SELECT team, count(*) AS contests, 100 * max(win_rate) FILTER (WHERE rn = 1) AS rating, 100 * max(last10_win_rate) FILTER (WHERE rn = 1) AS form, 100 * (1 - abs(max(last5_win_rate) FILTER (WHERE rn = 1) - max(last10_win_rate) FILTER (WHERE rn = 1))) AS consistency,
+  100 * avg(CASE WHEN level = 'international' THEN 1.0::DOUBLE ELSE 0.3 END) AS tier FROM z GROUP BY 1)"""
+_LEVELS = {"international": 1.0, "league": 0.3}
+
+
+def _state(spark, sf_dir):
+    return P.power_state(X.recent_form(X.record(X.sides(contests(spark, sf_dir)))), _LEVELS)
+
+
+@query("power_state", _STATE + " SELECT team, contests, round(rating, 6) AS rating, round(form, 6) AS form, round(consistency, 6) AS consistency, round(tier, 6) AS tier FROM st")
+def q_state(spark, sf_dir):
+    return _r(_state(spark, sf_dir), "rating", "form", "consistency", "tier", places=6)
+
+
+@query("power_rankings", _STATE + """, m AS (SELECT coalesce(avg(rating), 50) AS mr, coalesce(avg(form), 50) AS mf, coalesce(avg(consistency), 50) AS mc, coalesce(avg(tier), 50) AS mt FROM st),
+w AS (SELECT s_suppkey AS team, r_name AS region, contests, least(contests / 10.0::DOUBLE, 1.0) AS w, st.* EXCLUDE (team, contests), m.* FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN st ON st.team = s_suppkey CROSS JOIN m),
+q AS (SELECT team, region, contests, CASE WHEN contests IS NULL THEN 0 ELSE round(greatest(0, round(0.4 * (w * rating + (1 - w) * mr), 2) + round(0.3 * (w * form + (1 - w) * mf), 2) + round(0.2 * (w * consistency + (1 - w) * mc), 2) + round(0.1 * (w * tier + (1 - w) * mt), 2) - round(15 * (1 - w), 2)), 2) END AS score FROM w)
+SELECT team, region, score, row_number() OVER (ORDER BY score DESC, team) AS rank, row_number() OVER (PARTITION BY region ORDER BY score DESC, team) AS region_rank, CASE WHEN contests IS NULL THEN 'unrated' WHEN contests >= 10 THEN 'verified' ELSE 'provisional' END AS confidence FROM q""")
+def q_power(spark, sf_dir):
+    return P.power_rankings(_regions(spark, sf_dir), _state(spark, sf_dir))
+
+
+@query("historical_catalog", SQL + "SELECT contest_id, ts, side_a, side_b, family, (SELECT count(*) FROM acc WHERE family = 'BUILDING') AS total FROM acc WHERE family = 'BUILDING' ORDER BY ts DESC, contest_id LIMIT 50")
+def q_catalog(spark, sf_dir):
+    return P.catalog(accepted(contests(spark, sf_dir)), family="BUILDING").select("contest_id", "ts", "side_a", "side_b", "family", "total")
+
+
+@query("leg_ranking", HIST + "SELECT team, name, n, round(rate, 8) AS rate, row_number() OVER (PARTITION BY team ORDER BY rate DESC, name) AS place FROM per")
+def q_leg_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    per = _history(spark, sf_dir).groupBy("team", "name").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("won").cast("double")).alias("rate"))
+    return _r(per.withColumn("place", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("rate"), "name"))), "rate")
+
+
+@query("history_validation", HIST + """, v AS (SELECT leg_id, team, list_filter([CASE WHEN name IS NULL OR name NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') THEN 'unknown-leg' END, CASE WHEN ts > TIMESTAMP '1998-01-01' THEN 'future' END, CASE WHEN rounds < 13 OR rounds > 80 THEN 'round-count' END], lambda x: x IS NOT NULL) AS reasons FROM h)
+SELECT leg_id, team, array_to_string(reasons, ',') AS reasons FROM v""")
+def q_hist_valid(spark, sf_dir):
+    v = P.validate_history(_history(spark, sf_dir), _teams(spark, sf_dir), ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD"], 883_612_800_000)
+    return v.select("leg_id", "team", F.array_join("reasons", ",").alias("reasons"))
