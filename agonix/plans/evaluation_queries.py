@@ -144,9 +144,9 @@ def q_stats(spark, sf_dir):
     return _r(M.run_stats(table(spark, sf_dir, "events").select("user_id", "event_type", "value"), "user_id", "event_type", "value"), "mean", places=6)
 
 
-@query("window_partition", PRED + "SELECT contest_id, CASE WHEN ts >= (SELECT min(ts) FROM acc WHERE event_name = 'BRAZIL') THEN 'eligible' ELSE 'excluded' END AS part FROM acc")
+@query("window_partition", PRED + "SELECT contest_id, CASE WHEN ts >= (SELECT min(ts) FROM acc WHERE event_id = 3) THEN 'eligible' ELSE 'excluded' END AS part FROM acc")
 def q_window(spark, sf_dir):
     """Eligible from the first contest of the anchor event on; the start is a one-row table."""
     c = accepted(contests(spark, sf_dir))
-    start = c.where("event_name = 'BRAZIL'").agg(F.min("ts_ms").alias("start"))
+    start = c.where("event_id = 3").agg(F.min("ts_ms").alias("start"))
     return c.join(F.broadcast(start)).select("contest_id", F.when(F.col("ts_ms") >= F.col("start"), "eligible").otherwise("excluded").alias("part"))

@@ -1 +1,175 @@
-"""Queries."""
+"""Queries of normalisation, reconciliation, upserts, ledgers, versions and manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from agonix.operators import lifecycle as L
+from agonix.operators import normalize as N
+from agonix.sources.contests import SQL, contests, table
+
+from .base import query
+
+
+def _raw(spark, sf_dir):
+    """Order dates as raw text of several forms, by key."""
+    k = F.col("o_orderkey") % 5
+    d = lambda f: F.date_format("o_orderdate", f)
+    raw = F.when(k == 0, F.concat(d("yyyy-MM-dd"), F.lit("T"), d("HH:mm:ss"), F.lit("Z"))).when(k == 1, F.concat(d("yyyy-MM-dd"), F.lit("T"), d("HH:mm:ss"), F.lit("+02:00"))).when(k == 2, d("yyyy-MM-dd HH:mm:ss")).when(k == 3, d("yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", raw.alias("raw"))
+
+
+@query("normalize_timestamps", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN epoch_ms(o_orderdate) WHEN 1 THEN epoch_ms(o_orderdate) - 7200000 END AS ts_ms, CASE WHEN o_orderkey % 5 < 2 THEN 'high' ELSE 'none' END AS confidence, CASE WHEN o_orderkey % 5 = 2 THEN epoch_ms(o_orderdate) END AS utc_ms FROM orders")
+def q_ts(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    t = N.norm_timestamp(F.col("raw"))
+    return r.select("o_orderkey", F.unix_millis(t["ts"]).alias("ts_ms"), t["confidence"].alias("confidence"), N.parse_utc(F.col("raw")).alias("utc_ms"))
+
+
+@query("parse_date_ranges", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_date, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(last_day(o_orderdate) AS DATE) AS VARCHAR) WHEN 1 THEN CAST(CAST(last_day(o_orderdate) + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS end_date FROM orders WHERE month(o_orderdate) < 12")
+def q_ranges(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") < 12)
+    last = F.last_day("o_orderdate")
+    nxt = F.date_add(last, 1)
+    start, year = F.concat(F.date_format("o_orderdate", "MMM"), F.lit(" "), F.day("o_orderdate")), F.concat(F.lit(", "), F.year("o_orderdate"))
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(start, F.lit(" – "), F.day(last), year)).when(F.col("o_orderkey") % 3 == 1, F.concat(start, F.lit(" - "), F.date_format(nxt, "MMM"), F.lit(" "), F.day(nxt), year)).otherwise("soon")
+    r = N.parse_range(raw)
+    return o.select("o_orderkey", r["start"].cast("string").alias("start_date"), r["end"].cast("string").alias("end_date"))
+
+
+@query("normalize_legs", "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') THEN p_type ELSE lower(p_type) || ' ' END AS name, p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') AS recognized, p_partkey % 7 = 0 AS placeholder FROM part")
+def q_leg_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    from agonix.operators.quality import PLACEHOLDERS
+    from agonix.sources.contests import KNOWN_LEGS
+
+    leg = N.norm_leg(F.concat(F.lower("p_type"), F.lit(" ")), KNOWN_LEGS)
+    raw = F.when(F.col("p_partkey") % 7 == 0, " TBD ").otherwise(F.col("p_type"))
+    return p.select("p_partkey", leg["name"].alias("name"), leg["recognized"].alias("recognized"), F.lower(F.trim(raw)).isin(PLACEHOLDERS).alias("placeholder"))
+
+
+@query("normalize_series", "SELECT o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 'bo1' WHEN '2' THEN 'bo3' WHEN '3' THEN 'bo5' ELSE 'unknown' END AS series, count(*) AS n, count(*) FILTER (WHERE CASE left(o_orderpriority, 1) WHEN '1' THEN o_orderkey % 4 = 1 WHEN '2' THEN o_orderkey % 4 = 2 WHEN '3' THEN o_orderkey % 4 = 3 ELSE o_orderkey % 4 >= 1 END) AS valid FROM orders GROUP BY 1, 2")
+def q_series(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    text = F.when(F.col("o_orderpriority").startswith("1"), "Bo 1").when(F.col("o_orderpriority").startswith("2"), "Best of 3 - upper").when(F.col("o_orderpriority").startswith("3"), "Grand Final").otherwise("series")
+    s = o.withColumn("series", N.norm_series(text))
+    return s.groupBy("o_orderpriority", "series").agg(F.count(F.lit(1)).alias("n"), F.count_if(N.valid_wins(F.col("series"), F.col("o_orderkey") % 4)).alias("valid"))
+
+
+def _events(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    name = F.when(k % 4 == 0, F.concat("n_name", F.lit(" Masters"))).when(k % 4 == 1, F.concat("n_name", F.lit(" League"))).when(k % 4 == 2, F.concat("n_name", F.lit(" Open Qualifier"))).otherwise(F.lit("?"))
+    return n.select(k.cast("long").alias("event_id"), name.alias("name"), F.when(k % 5 == 0, "League").alias("tier_hint"), F.date_add(F.lit("1994-01-01").cast("date"), k * 30).alias("start_date"), F.date_add(F.lit("1994-01-11").cast("date"), k * 30).alias("end_date"))
+
+
+def _classified(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return N.classify_events(e, e.where("event_id % 6 = 3").select("event_id", F.lit("showmatch").alias("override")))
+
+
+_CLS = """WITH e AS (SELECT CAST(n_nationkey AS BIGINT) AS event_id, CASE WHEN n_nationkey % 6 = 3 THEN 'showmatch' WHEN n_nationkey % 5 = 0 THEN 'league' WHEN n_nationkey % 4 = 0 THEN 'masters' WHEN n_nationkey % 4 = 1 THEN 'league' WHEN n_nationkey % 4 = 2 THEN 'challengers' ELSE 'unknown' END AS class,
+  CASE WHEN n_nationkey % 6 = 3 OR n_nationkey % 5 = 0 THEN 'high' WHEN n_nationkey % 4 = 3 THEN 'none' ELSE 'low' END AS confidence, CASE WHEN n_nationkey % 6 = 3 THEN 'override' WHEN n_nationkey % 5 = 0 THEN 'metadata' WHEN n_nationkey % 4 = 3 THEN 'none' ELSE 'name' END AS reason,
+  DATE '1994-01-01' + CAST(n_nationkey * 30 AS INTEGER) AS sd, DATE '1994-01-11' + CAST(n_nationkey * 30 AS INTEGER) AS ed FROM nation)"""
+
+
+@query("classify_events", _CLS + " SELECT event_id, class, confidence, reason, CASE WHEN class IN ('masters', 'champions', 'international') THEN 'international' WHEN class IN ('league', 'challengers') THEN 'league' ELSE 'unknown' END AS level FROM e")
+def q_classify(spark, sf_dir):
+    return _classified(spark, sf_dir).select("event_id", "class", "confidence", "reason", N.level_of(F.col("class")).alias("level"))
+
+
+@query("event_inclusion", _CLS + " SELECT event_id, CASE WHEN class = 'unknown' THEN 'unknown' WHEN class = 'showmatch' THEN 'excluded:showmatch' WHEN class NOT IN ('masters', 'league') THEN 'outside-families' WHEN ed < DATE '1994-06-01' OR sd > DATE '1995-06-01' THEN 'outside-scope' ELSE 'included' END AS inclusion FROM e")
+def q_inclusion(spark, sf_dir):
+    return N.event_inclusion(_classified(spark, sf_dir), ["masters", "league"], ["showmatch"], "1994-06-01", "1995-06-01").select("event_id", "inclusion")
+
+
+@query("contest_flags", SQL + """, n AS (SELECT contest_id, bool_or(NOT recognized) AS u, bool_or(qa = qb) AS t FROM legs GROUP BY 1),
+r AS (SELECT l_orderkey AS contest_id, count(DISTINCT l_partkey) FILTER (WHERE r = 1) AS a, count(DISTINCT l_partkey) FILTER (WHERE r = 2) AS b FROM sl GROUP BY 1)
+SELECT c.contest_id, concat_ws(',', CASE WHEN winner IS NULL THEN 'winner-missing' END, CASE WHEN u THEN 'unknown-leg' END, CASE WHEN t THEN 'tied-leg' END, CASE WHEN series_format = 'unknown' THEN 'format-unknown' END, CASE WHEN a < 5 THEN 'roster-a-incomplete' END, CASE WHEN b < 5 THEN 'roster-b-incomplete' END) AS flags, winner IS NOT NULL AS eligible
+FROM c LEFT JOIN n USING (contest_id) JOIN r USING (contest_id)""")
+def q_flags(spark, sf_dir):
+    return N.contest_flags(contests(spark, sf_dir)).select("contest_id", F.array_join("flags", ",").alias("flags"), "eligible")
+
+
+def _halves(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    old = e.where("event_id % 4 <> 0")
+    new = e.where("event_id % 4 <> 1").withColumn("value", F.when(F.col("event_id") % 8 == 2, F.col("value") + 1).otherwise(F.col("value")))
+    return old, new
+
+
+@query("upsert_by_hash", "SELECT event_id, CASE WHEN event_id % 4 <> 1 AND event_id % 8 = 2 THEN value + 1 ELSE value END AS value, CASE WHEN event_id % 4 = 0 THEN 'inserted' WHEN event_id % 4 = 1 THEN 'kept' WHEN event_id % 8 = 2 THEN 'updated' ELSE 'unchanged' END AS action FROM events")
+def q_upsert(spark, sf_dir):
+    old, new = _halves(spark, sf_dir)
+    return L.upsert_by_hash(old, new, ["event_id"]).select("event_id", "value", "action")
+
+
+@query("merge_ledger", """WITH p AS (SELECT user_id, event_type, min(ts) AS f, max(ts) AS l, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), c AS (SELECT user_id, event_type, min(ts) AS f, max(ts) AS l, count(*) AS n FROM events WHERE event_id % 2 = 1 AND user_id % 3 <> 0 GROUP BY 1, 2)
+SELECT coalesce(c.user_id, p.user_id) AS user_id, coalesce(c.event_type, p.event_type) AS event_type, coalesce(p.f, c.f) AS first_seen, coalesce(c.l, p.l) AS last_seen, coalesce(c.n, 0) + coalesce(p.n, 0) AS attempts, CASE WHEN c.user_id IS NOT NULL THEN 'open' ELSE 'resolved' END AS status FROM c FULL JOIN p ON c.user_id = p.user_id AND c.event_type = p.event_type""")
+def q_ledger(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    of = lambda x: x.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("attempts"))
+    return L.merge_ledger(of(e.where("event_id % 2 = 0")), of(e.where("event_id % 2 = 1 and user_id % 3 <> 0")), ["user_id", "event_type"])
+
+
+@query("dataset_version")
+def q_version(spark, sf_dir):
+    return L.dataset_version(contests(spark, sf_dir).drop("legs", "roster_a", "roster_b"), ["schema-1", "rules-1"], ["ts_ms"])
+
+
+_MAN = """, man AS (SELECT contest_id, event_id, contest_id % 11 <> 0 AS complete, CASE WHEN contest_id % 11 = 0 THEN 'live' ELSE 'completed' END AS listed_status FROM c WHERE contest_id % 13 <> 0 UNION ALL SELECT contest_id + 100000000, event_id, true, 'completed' FROM c WHERE contest_id % 29 = 0),
+ev AS (SELECT CAST(n_nationkey AS BIGINT) AS event_id, CASE WHEN n_nationkey % 7 = 0 THEN 'out-of-scope' WHEN n_nationkey % 5 = 1 THEN 'stale' ELSE 'current-approved' END AS category FROM nation),
+cat AS (SELECT coalesce(man.contest_id, c.contest_id) AS contest_id, CASE WHEN man.contest_id IS NULL THEN 'orphaned' WHEN c.contest_id IS NULL THEN 'missing' WHEN ev.category <> 'current-approved' THEN 'event-' || ev.category WHEN listed_status <> 'completed' THEN 'stale' ELSE 'current-approved' END AS category FROM c FULL JOIN man ON man.contest_id = c.contest_id JOIN ev ON ev.event_id = coalesce(man.event_id, c.event_id))"""
+
+
+def _manifest(spark, sf_dir):
+    c = contests(spark, sf_dir)
+    live = F.when(F.col("contest_id") % 11 == 0, "live").otherwise("completed")
+    m = c.where("contest_id % 13 <> 0").select("contest_id", "event_id", live.alias("listed_status")).unionByName(c.where("contest_id % 29 = 0").select((F.col("contest_id") + 100000000).alias("contest_id"), "event_id", F.lit("completed").alias("listed_status")))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("event_id"))
+    em = n.select("event_id", (F.col("event_id") % 7 != 0).alias("included"), (F.col("event_id") % 5 != 1).alias("complete"))
+    return c, m, L.reconcile(n, em, "event_id")
+
+
+@query("reconcile_events", SQL + _MAN + " SELECT * FROM ev")
+def q_rec_events(spark, sf_dir):
+    return _manifest(spark, sf_dir)[2]
+
+
+@query("reconcile_contests", SQL + _MAN + " SELECT * FROM cat")
+def q_rec(spark, sf_dir):
+    return L.reconcile_contests(*_manifest(spark, sf_dir))
+
+
+@query("curated_contests", SQL + _MAN + " SELECT contest_id, side_a, side_b, winner FROM c JOIN cat USING (contest_id) WHERE category = 'current-approved' AND winner IS NOT NULL")
+def q_curated(spark, sf_dir):
+    c, m, e = _manifest(spark, sf_dir)
+    return L.curate(c, L.reconcile_contests(c, m, e), c.where("winner is null")).select("contest_id", "side_a", "side_b", "winner")
+
+
+@query("manifest_completeness", SQL + _MAN + " SELECT contest_id, 'missing-record' AS code FROM man WHERE listed_status = 'completed' AND contest_id NOT IN (SELECT contest_id FROM c) AND contest_id % 2 = 0 UNION ALL SELECT contest_id, 'missing-field' FROM c WHERE winner IS NULL")
+def q_complete(spark, sf_dir):
+    c, m, _ = _manifest(spark, sf_dir)
+    return L.completeness(m, c, m.where("contest_id > 100000000 and contest_id % 2 = 1"))
+
+
+@query("registry_diff", "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'rejected' WHEN s_suppkey % 5 = 0 THEN 'removed' WHEN s_suppkey % 3 = 0 THEN 'added' WHEN s_suppkey % 2 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM supplier")
+def q_diff(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    k = F.col("s_suppkey")
+    current = s.where((k % 3 != 0) | (k % 5 == 0) | (k % 7 == 0))
+    incoming = s.where((k % 5 != 0) | (k % 7 == 0)).withColumn("s_name", F.when(k % 2 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    incoming = incoming.unionByName(s.where(k % 7 == 0).withColumn("s_name", F.lit("other")))
+    return L.diff_registry(current, incoming, "s_suppkey", ["s_name"])
+
+
+@query("first_wins_dedup", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, min(o_orderdate) AS o_orderdate, count(*) - 1 AS duplicates FROM orders GROUP BY 1")
+def q_first(spark, sf_dir):
+    return L.dedup_first(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+@query("dataset_manifest", SQL + "SELECT count(*) AS normalised, count(winner) AS eligible, count(DISTINCT event_id) AS events, (SELECT count(*) FROM orders) AS discovered, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT contest_id FROM c)) AS failures FROM c")
+def q_manifest(spark, sf_dir):
+    c = contests(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contest_id"))
+    return L.dataset_manifest(o, c, o.join(c.select("contest_id"), "contest_id", "left_anti"))
