@@ -4,9 +4,9 @@ A text is folded (lower case, accents off, homoglyphs and digit substitutions ma
 Aho-Corasick automaton finds the lexicon's terms in one pass; a term counts where it stands as a word. Matches inside
 an exception phrase don't count. The sum of weights, normalised by length, gives the score through a logistic curve.
 
-Lexicon, weights and curve are learned from labelled rows: term weights are smoothed log-odds of documents, counted
-over all labelled training rows with one aggregation; the curve is fitted on a sample of at most ``sample`` labelled
-rows, taken by hash. Exception phrases are given (EXCEPTIONS by default).
+Lexicon, weights and curve are learned from at most ``sample`` labelled rows, taken by hash: term weights are smoothed
+log-odds of documents, and a logistic curve is fitted to what the lexicon finds. Exception phrases are given (EXCEPTIONS
+by default). Every document is scored whole.
 
 Defined cases: a null text counts as empty; an empty text has the score of a text without matches; labels that are
 null are not used; a document labelled twice with both values counts for both; with no labels at all the lexicon is
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import small_batches, stored, text_or_empty
 
 #: Look-alike letters of other scripts, and digits or signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ο": "o", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ı": "i", "ł": "l", "ø": "o"}
@@ -176,7 +176,11 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows that may be learned from."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 20000) -> DataFrame:
+    """doc_id, text, toxic of labelled rows that may be learned from: at most ``sample`` labels, taken by hash of doc_id.
+
+    The bound makes the labels' side a broadcast of known size, so no text is shuffled; what is learned reads the rows
+    from the shared folder."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out()).distinct()
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    return stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "labelled")
