@@ -101,7 +101,7 @@ def drops(docs: DataFrame, column: str = "text", min_chars: int = 40, min_docs:
     small_batches(docs.sparkSession)
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), column)
     held = stored(held.mapInArrow(_hashes(min_chars, column), "doc_id long, h binary"), "line-hashes")
-    borders = held.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    borders = held.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(x) for x in borders}, reverse=True), None]
     runs = LineRuns(spark, min_docs, fanout)
     for top, low in zip(edges, edges[1:], strict=False):
