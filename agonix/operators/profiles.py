@@ -88,7 +88,7 @@ def matchup(profiles: DataFrame, pairs: DataFrame, weights: dict[str, float] | N
     adv = total(lambda x: x["d"] * x["w"]) / sum(weights.values())
     p = p.withColumns({
         "similarity": F.floor(F.greatest(F.lit(0.0), 100 - 1.4 * total(lambda x: F.abs(x["d"])) / len(weights)) + 0.5).cast("double"),
-        "advantage": adv,
+        "advantage": F.round(adv, 9),  # so that a difference of nothing has no sign
         "conflicting": F.array_join(F.transform(F.array_sort(F.transform(F.filter("d", lambda x: F.abs(x["d"]) >= 20), lambda x: F.struct((-F.abs(x["d"])).alias("k"), x["name"].alias("name")))), lambda x: x["name"]), ","),
     })
     p = p.withColumn("agreement", total(lambda x: ((F.signum(x["d"]) == F.signum("advantage")) | (x["d"] == 0)).cast("double")) / len(weights))

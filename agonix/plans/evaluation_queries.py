@@ -137,11 +137,11 @@ def q_boot(spark, sf_dir):
 
 
 @query("run_stats", """WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
-SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS codes, round(avg(value), 6) AS mean, max(value) FILTER (WHERE i = least(floor(0.5 * n), n - 1)) AS p50, max(value) FILTER (WHERE i = least(floor(0.95 * n), n - 1)) AS p95 FROM e GROUP BY 1""")
+SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS codes, round(avg(value), 9) AS mean, max(value) FILTER (WHERE i = least(floor(0.5 * n), n - 1)) AS p50, max(value) FILTER (WHERE i = least(floor(0.95 * n), n - 1)) AS p95 FROM e GROUP BY 1""")
 def q_stats(spark, sf_dir):
     from agonix.sources.contests import table
 
-    return _r(M.run_stats(table(spark, sf_dir, "events").select("user_id", "event_type", "value"), "user_id", "event_type", "value"), "mean", places=6)
+    return _r(M.run_stats(table(spark, sf_dir, "events").select("user_id", "event_type", "value"), "user_id", "event_type", "value"), "mean")
 
 
 @query("window_partition", PRED + "SELECT contest_id, CASE WHEN ts >= (SELECT min(ts) FROM acc WHERE event_id = 3) THEN 'eligible' ELSE 'excluded' END AS part FROM acc")
