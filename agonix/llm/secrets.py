@@ -1,9 +1,12 @@
 """Secret scans: fixed kinds, and a token-efficiency test for random strings.
 
 Three fixed kinds (assignments, access keys, long hexadecimal runs) are found by pattern. The token-efficiency test adds
-spans of kind ``token``: a run of key characters that mixes letters and digits and that a byte-level vocabulary, made
-from ordinary text, can only spell out in short tokens (few characters per token) is a random string. Known digests
-(hexadecimal of the usual lengths), UUIDs, dates, numbers, versions, paths and addresses are excluded first.
+spans of kind ``token``: a run of key characters that a byte-level vocabulary, made from ordinary text, can only spell
+out in short tokens (few characters per token) is a random string, whether it has digits or not. Known digests
+(hexadecimal of the usual lengths), UUIDs and chains of readable words and numbers exclude the part they match and no more:
+a run with none of them is judged as a whole, else what lies between them is, and where a whole is not random its parts
+between / + _ - = are judged one by one. Letters of one case (but for the first) are judged by a stricter ratio, as long
+words of languages the vocabulary has seen little of come near the other.
 
 Spans are in code points, end exclusive. Defined cases: a null text counts as empty and has no spans; repeated rows are
 scanned each for itself; an empty table gives no rows; other columns are kept, ``spans`` is replaced.
@@ -29,8 +32,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs of hexadecimal digits; only those of 24 and more are asked for, so only they are matched.
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs of key characters that can hold a random string.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
-_KNOWN = re.compile(r"(?:0x)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|.*[a-z]{4,}[_/-][a-z]{3,}.*|sha\d+-.*")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Parts of a run that are no secret: digests, UUIDs, and chains of readable words and numbers.
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:0x)?(?:[0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(?:1|224|256|384|512)-[A-Za-z0-9+/]{27,86}={0,2}"
+    r"|(?:[A-Z]?[a-z]{3,}|[0-9]+)(?:[/_=-]+(?:[A-Z]?[a-z]{3,}|[0-9]+))+|[A-Z]{3,}(?:_+[A-Z]{2,})+)(?![A-Za-z0-9])"
+)
+_PART = re.compile(r"[A-Za-z0-9]+")
+_LONG = re.compile(r"[A-Za-z0-9]{3}")
+_WORD = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)")
+#: The share of the ratio that letters of one case are held to.
+WORDS = 0.87
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -60,8 +73,22 @@ class Scanner:
         return len(run) / max(1, len(self.enc.encode_ordinary(run)))
 
     def random(self, run: str) -> bool:
+        """Whether a run without known parts is a random string."""
         letters = sum(c.isalpha() for c in run)
-        return len(run) >= self.least and letters >= 4 and letters < len(run) and not _KNOWN.fullmatch(run) and self.efficiency(run) <= self.ratio
+        if len(run) < self.least or letters < 4 or _KNOWN.search(run) or not _LONG.search(run):
+            return False
+        return self.efficiency(run) <= (self.ratio * WORDS if _WORD.fullmatch(run) else self.ratio)
+
+    def parts(self, run: str) -> Iterator[tuple[int, int]]:
+        """Where the random strings of a run are: what lies between its known parts, as a whole or else by part."""
+        at = 0
+        for a, b in [*(m.span() for m in _KNOWN.finditer(run)), (len(run), len(run))]:
+            if a - at >= self.least:
+                if self.random(run[at:a]):
+                    yield at, a
+                else:
+                    yield from (m.span() for m in _PART.finditer(run, at, a) if m.end() - m.start() < a - at and self.random(m[0]))
+            at = b
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) in order of start, then kind."""
@@ -71,8 +98,9 @@ class Scanner:
         base = list(out)
         for m in RUN.finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for x, _, y in base) and self.random(m[0]):
-                out.append((a, 3, b))
+            for i, j in self.parts(m[0]):
+                if not any(x < a + j and a + i < y for x, _, y in base):
+                    out.append((a + i, 3, a + j))
         return sorted(out)
 
 

@@ -123,6 +123,21 @@ def test_known_digests_are_no_random_strings():
     assert not s.random(hashlib.sha1(b"x").hexdigest().upper()) and not s.random("internationalisation2") and s.random("a8Zk3Qw9Lp2Xv7Rt5Yb1")
 
 
+@pytest.mark.parametrize("text,secret", [
+    ("key QwZkLpXvRtYbMnGhJdSa.", "QwZkLpXvRtYbMnGhJdSa"), ("qwzklpxvrtybmnghjdsa", "qwzklpxvrtybmnghjdsa"),
+    ("github_pat_11ABCDEFG0aB3dE5fG7hI9jK_lM1nO3pQ5rS7tU9vW1xY3zA5bC7dE9fG", "11ABCDEFG0aB3dE5fG7hI9jK_lM1nO3pQ5rS7tU9vW1xY3zA5bC7dE9fG"),
+    ("https://a.example.com/reset/password/a8Zk3Qw9Lp2Xv7Rt5Yb1", "a8Zk3Qw9Lp2Xv7Rt5Yb1"), ("reset/password/for=a8Zk3Qw9Lp2Xv7Rt5Yb1/done/really", "a8Zk3Qw9Lp2Xv7Rt5Yb1"),
+])
+def test_random_strings_without_digits_or_beside_words_are_found(text, secret):
+    s = Scanner.of(tokenizer_path("byte_bpe_50k.tiktoken"), 2.2, 16)
+    assert [text[a:b].strip("/_=-") for a, k, b in s.spans(text) if k == 3] == [secret]
+
+
+@pytest.mark.parametrize("text", ["MAX_RETRY_COUNT_PER_HOST", "v1-2-3-alpha-20240101-x86_64-linux-gnu", "a/b/c/d/e/f/g/h/i/j/k", "getElementByIdAndName", "Geschwindigkeitsbegrenzung", "wp-content/uploads/2019/03/IMG_20190304_123456", "=" * 40, "integrity=sha256-47DEQpj8HBSa/+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="])
+def test_readable_runs_are_no_random_strings(text):
+    assert not list(Scanner.of(tokenizer_path("byte_bpe_50k.tiktoken"), 2.2, 16).parts(text))
+
+
 @pytest.mark.parametrize("fanout,batches", [(2, 4), (3, 7), (2, 1)])
 def test_line_dedup_against_brute_force(spark, fanout, batches):
     line = lambda k: f"  This is a line of the corpus that many documents share, number {k} \t"
