@@ -99,7 +99,7 @@ class Tree(HTMLParser):
                 if self.tags[i] in ends:
                     del self.tags[i:], self.open[i:]
                     break
-                if self.tags[i] in _SCOPE:
+                if self.tags[i] in _SCOPE or self.tags[i] in SILENT:  # what is in a silent element closes nothing around it
                     break
         if tag in VOID:
             if tag == "br":

@@ -146,6 +146,12 @@ def test_extraction_of_unseen_layouts_and_pages(spark, sf):
     assert extract(odd.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("html", ["<p>a<noscript><p>b</p></noscript></p><p>rest of the article", "<p>a<noscript><div>b</div></noscript></p><p>rest of the article", "<ul><li>a<template><li>b</template></ul><p>rest of the article", "<p>a<object><canvas><div>b</div></canvas><p>b</object><p>rest of the article"])
+def test_blocks_in_silent_elements_close_nothing_around_them(html):
+    tree = Tree().read(html)
+    assert tree.silent == 0 and tree.text([True] * len(tree.parent)) == "a\nrest of the article"
+
+
 def test_toxicity_folding_phrases_and_held_out_rows(spark):
     assert fold("1D10T  Мoron, pàthetic!!") == "idiot moron pathetic"
     s = Scorer({"trash": 3.0, "idiot": 2.0}, ["trash can"])
