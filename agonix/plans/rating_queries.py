@@ -13,11 +13,12 @@ from .base import query
 
 @query("elo_ratings")
 def q_elo(spark, sf_dir):
-    return R.with_elo(contests(spark, sf_dir)).select("contest_id", *[F.round(c, 6).alias(c) for c in ("elo_a", "elo_b", "median_elo", "elo_diff", "elo_p")])
+    """One rating per team over all its history."""
+    return R.with_elo(contests(spark, sf_dir), pool=None).select("contest_id", *[F.round(c, 6).alias(c) for c in ("elo_a", "elo_b", "median_elo", "elo_diff", "elo_p")])
 
 
 @query("opponent_strength")
 def q_strength(spark, sf_dir):
     c = contests(spark, sf_dir)
-    s = R.opponent_strength(X.record(X.sides(c)), R.elo(c))
+    s = R.opponent_strength(X.record(X.sides(c)), R.elo(c, pool=None))
     return s.select("contest_id", "side", "team", *[F.round(f"avg_opp_{k}_last{n}", 6).alias(f"avg_opp_{k}_last{n}") for k in ("elo", "rate") for n in (5, 10)], F.round("schedule_strength", 6).alias("schedule_strength"), "wins_above_median", "losses_below_median")

@@ -38,6 +38,42 @@ def test_elo_equals_a_replay(spark, sf):
         i = j
 
 
+def replay(rows):
+    """contest_id -> elo_a, elo_b, median before it, one rating per team over all rows."""
+    out, ratings, seen, i = {}, {}, [], 0
+    rows = sorted(rows, key=lambda r: (r.ts_ms, r.contest_id))
+    while i < len(rows):
+        group = [r for r in rows[i:] if r.ts_ms == rows[i].ts_ms]
+        mid = median(seen) if seen else 1500.0
+        for r in group:
+            out[r.contest_id] = (ratings.get(r.side_a, 1500.0), ratings.get(r.side_b, 1500.0), mid)
+        for r in group:
+            a, b = ratings.get(r.side_a, 1500.0), ratings.get(r.side_b, 1500.0)
+            d = 24 * ((r.winner == r.side_a) - 1 / (1 + 10 ** ((b - a) / 400)))
+            ratings[r.side_a], ratings[r.side_b] = a + d, b - d
+            seen += out[r.contest_id][:2]
+        i += len(group)
+    return out
+
+
+def test_the_queries_keep_one_rating_per_team(spark, sf):
+    from agonix.plans.registry import QUERIES
+
+    rows = accepted(contests(spark, sf)).select("ts_ms", "contest_id", "side_a", "side_b", "winner").collect()
+    want = replay(rows)
+    got = {r.contest_id: (r.elo_a, r.elo_b, r.median_elo) for r in QUERIES["elo_ratings"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    met = {(r.contest_id, s): (t, r.ts_ms, want[r.contest_id][o]) for r in rows for s, t, o in (("A", r.side_a, 1), ("B", r.side_b, 0))}
+    by = {}
+    for team, ts, opp in met.values():
+        by.setdefault(team, []).append((ts, opp))
+    for r in QUERIES["opponent_strength"](spark, sf).collect():
+        team, ts, _ = met[r.contest_id, r.side]
+        before = [v for t, v in by[team] if t < ts]
+        assert r.schedule_strength == pytest.approx(sum(before) / len(before) if before else 1500.0, abs=1e-5)
+
+
 def test_last_rows_see_no_row_of_their_own_group(spark):
     df = spark.createDataFrame([(1, 0, 1, 1), (1, 10, 2, 2), (1, 10, 3, 4), (1, 20, 4, 8), (1, 20, 5, 16)], "team long, ts_ms long, contest_id long, v long")
     out = with_last_rows(df, {"s": (F.sum("v"), 2)}, ["team"], ["contest_id"]).orderBy("contest_id").collect()
