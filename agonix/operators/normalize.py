@@ -31,13 +31,15 @@ def _month(name: Column) -> Column:
 
 
 def parse_range(raw: Column) -> Column:
-    """struct(start, end) of "Jan 15 - Feb 9, 2026"; a missing end month is the start month; else nulls."""
+    """struct(start, end) of "Jan 15 - Feb 9, 2026"; a missing end month is the start month; else nulls. The year is
+    that of the end: a range whose end month comes before its start month began in the year before."""
     pattern = r"^\s*([A-Za-z]{3})[a-z]*\s+(\d{1,2})\s*[-–]\s*(?:([A-Za-z]{3})[a-z]*\s+)?(\d{1,2}),\s*(\d{4})\s*$"
     g = lambda i: F.nullif(F.regexp_extract(raw, pattern, i), F.lit(""))
     m1 = _month(g(1))
     m2 = F.coalesce(_month(g(3)), m1)
-    day = lambda m, d: F.try_make_timestamp(g(5).cast("int"), m, d.cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    return F.struct(day(m1, g(2)).alias("start"), day(m2, g(4)).alias("end"))
+    year = g(5).cast("int")
+    day = lambda y, m, d: F.try_make_timestamp(y, m, d.cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    return F.struct(day(F.when(m2 < m1, year - 1).otherwise(year), m1, g(2)).alias("start"), day(year, m2, g(4)).alias("end"))
 
 
 def norm_leg(name: Column, known: list[str]) -> Column:

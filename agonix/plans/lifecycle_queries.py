@@ -26,17 +26,26 @@ def q_ts(spark, sf_dir):
     return r.select("o_orderkey", F.unix_millis(t["ts"]).alias("ts_ms"), t["confidence"].alias("confidence"), N.parse_utc(F.col("raw")).alias("utc_ms"))
 
 
-@query("parse_date_ranges", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_date, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(last_day(o_orderdate) AS DATE) AS VARCHAR) WHEN 1 THEN CAST(CAST(last_day(o_orderdate) + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS end_date FROM orders WHERE month(o_orderdate) < 12")
-def q_ranges(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") < 12)
+def _ranges(o):
     last = F.last_day("o_orderdate")
     nxt = F.date_add(last, 1)
-    start, year = F.concat(F.date_format("o_orderdate", "MMM"), F.lit(" "), F.day("o_orderdate")), F.concat(F.lit(", "), F.year("o_orderdate"))
-    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(start, F.lit(" – "), F.day(last), year)).when(F.col("o_orderkey") % 3 == 1, F.concat(start, F.lit(" - "), F.date_format(nxt, "MMM"), F.lit(" "), F.day(nxt), year)).otherwise("soon")
+    start, year = F.concat(F.date_format("o_orderdate", "MMM"), F.lit(" "), F.day("o_orderdate")), lambda d: F.concat(F.lit(", "), F.year(d))
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(start, F.lit(" – "), F.day(last), year(last))).when(F.col("o_orderkey") % 3 == 1, F.concat(start, F.lit(" - "), F.date_format(nxt, "MMM"), F.lit(" "), F.day(nxt), year(nxt))).otherwise("soon")
     r = N.parse_range(raw)
     return o.select("o_orderkey", r["start"].cast("string").alias("start_date"), r["end"].cast("string").alias("end_date"))
 
 
+@query("parse_date_ranges", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_date, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(last_day(o_orderdate) AS DATE) AS VARCHAR) WHEN 1 THEN CAST(CAST(last_day(o_orderdate) + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS end_date FROM orders WHERE month(o_orderdate) < 12")
+def q_ranges(spark, sf_dir):
+    return _ranges(table(spark, sf_dir, "orders").where(F.month("o_orderdate") < 12))
+
+
+@query("parse_date_ranges_all", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_date, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(last_day(o_orderdate) AS DATE) AS VARCHAR) WHEN 1 THEN CAST(CAST(last_day(o_orderdate) + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS end_date FROM orders")
+def q_ranges_all(spark, sf_dir):
+    """Every order, those of December too, whose ranges cross the year."""
+    return _ranges(table(spark, sf_dir, "orders"))
+
+
 @query("normalize_legs", "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') THEN p_type ELSE lower(p_type) || ' ' END AS name, p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') AS recognized, p_partkey % 7 = 0 AS placeholder FROM part")
 def q_leg_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")

@@ -68,3 +68,10 @@ def test_prep_uses_train_rows_alone(spark):
     assert p["median"]["x"] == 2.0 and p["missing"] == ["x"] and p["vocabulary"]["c"] == ["a", "b"]
     row = ML.apply_prep(spark.createDataFrame([(9, None, "zzz")], train.schema), p, ["contest_id"]).first()
     assert list(row.features) == pytest.approx([0.0, 1.0, 0.0, 0.0, 1.0])
+
+
+def test_ranges_across_the_year(spark):
+    from agonix.operators.normalize import parse_range
+
+    df = spark.createDataFrame([("Dec 5 - Jan 1, 2026",), ("Jan 15 - Feb 9, 2026",), ("Dec 5 - 9, 2026",)], "raw string")
+    assert [(str(r.x.start), str(r.x.end)) for r in df.select(parse_range(F.col("raw")).alias("x")).collect()] == [("2025-12-05", "2026-01-01"), ("2026-01-15", "2026-02-09"), ("2026-12-05", "2026-12-09")]
