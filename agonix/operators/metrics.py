@@ -98,35 +98,32 @@ def error_extremes(pred: DataFrame, n: int = 10) -> DataFrame:
     return worst.unionByName(weakest).drop("right")
 
 
-def bootstrap(pred: DataFrame, iterations: int = 2000, seed: int = 1, exact_below: int = 100_000) -> DataFrame:
-    """Nearest-rank 2.5 % and 97.5 % bounds of log loss and Brier over resamples with replacement.
-
-    Below ``exact_below`` rows a resample has exactly n draws, by a hash of (seed, iteration, draw); it is taken from the
-    rows' ordinals by an equi-join. From there on each row gets a Poisson(1) weight per iteration instead, in one pass
-    without a join; both agree in the limit."""
-    from .splits import ordinals
-
-    loss = -(F.col("y") * F.ln(_clip()) + (1 - F.col("y")) * F.ln(1 - _clip()))
-    rows = pred.select("contest_id", "ts_ms", loss.alias("l"), F.pow(F.col("p") - F.col("y"), 2).alias("b"))
-    n = rows.count()
-    spark = pred.sparkSession
-    if n == 0:
-        return spark.createDataFrame([], "metric string, low double, high double")
-    if n < exact_below:
-        draws = spark.range(iterations).withColumnRenamed("id", "it").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        draws = draws.select("it", F.pmod(F.xxhash64(F.lit(seed), "it", "j"), F.lit(n)).alias("ordinal")).groupBy("it", "ordinal").agg(F.count(F.lit(1)).alias("w"))
-        each = draws.join(ordinals(rows), "ordinal").groupBy("it").agg((F.sum(F.col("w") * F.col("l")) / n).alias("log_loss"), (F.sum(F.col("w") * F.col("b")) / n).alias("brier"))
-    else:
-        u = (F.pmod(F.xxhash64(F.lit(seed), "contest_id", "it"), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
-        steps, term, total = [], 0.36787944117144233, 0.0
-        for k in range(12):
-            total += term
-            steps.append(total)
-            term /= k + 1
-        weight = sum(((u > s).cast("int") for s in steps[1:]), (u > steps[0]).cast("int"))
-        each = rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("w", weight).groupBy("it").agg((F.sum(F.col("w") * F.col("l")) / F.sum("w")).alias("log_loss"), (F.sum(F.col("w") * F.col("b")) / F.sum("w")).alias("brier"))
-    bounds = lambda m: F.struct(F.lit(m).alias("metric"), F.element_at(F.array_sort(F.collect_list(m)), int(round(0.025 * (iterations - 1))) + 1).alias("low"), F.element_at(F.array_sort(F.collect_list(m)), int(round(0.975 * (iterations - 1))) + 1).alias("high"))
-    return each.agg(F.array(bounds("log_loss"), bounds("brier")).alias("m")).select(F.explode("m").alias("m")).select("m.*")  # `iterations` values
+def bootstrap(pred: DataFrame, iterations: int = 2000, seed: int = 1) -> DataFrame:
+    """Nearest-rank 2.5 % and 97.5 % bounds of log loss, Brier and accuracy over resamples with replacement, and, if
+    ``pred`` has elo_p, of log loss and Brier minus the rating's on the same resample.
+
+    At every size each row gets a Poisson(1) weight per iteration by a hash of (seed, row, iteration), in one pass without a
+    join; the sums are divided by the resample's own total. A resample without rows counts for nothing."""
+    p, y = F.col("p"), F.col("y")
+    loss = lambda p: -(y * F.ln(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))) + (1 - y) * F.ln(1 - F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))))
+    values = {"log_loss": loss(p), "brier": F.pow(p - y, 2), "accuracy": ((p >= 0.5) == (y == 1)).cast("double")}
+    if "elo_p" in pred.columns:
+        e = F.col("elo_p")
+        values |= {"log_loss_minus_elo": loss(p) - loss(e), "brier_minus_elo": F.pow(p - y, 2) - F.pow(e - y, 2)}
+    rows = pred.select("contest_id", *[v.alias(k) for k, v in values.items()]).repartition(pred.sparkSession.sparkContext.defaultParallelism)
+    u = (F.pmod(F.xxhash64(F.lit(seed), "contest_id", "it"), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
+    steps, term, total = [], 0.36787944117144233, 0.0
+    for k in range(18):  # the next one is beyond the 53 bits of u
+        total += term
+        steps.append(total)
+        term /= k + 1
+    drawn = rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_u", u)
+    drawn = drawn.withColumn("w", sum(((F.col("_u") > s).cast("int") for s in steps[1:]), (F.col("_u") > steps[0]).cast("int"))).where("w > 0")
+    each = drawn.groupBy("it").agg(*[(F.sum(F.col("w") * F.col(m)) / F.sum("w")).alias(m) for m in values])
+    at = lambda m, q: F.try_element_at(F.array_sort(F.collect_list(m)), (F.greatest(F.round(q * (F.count(m) - 1)), F.lit(0)) + 1).cast("int"))
+    bounds = [F.struct(F.lit(m).alias("metric"), at(m, 0.025).alias("low"), at(m, 0.975).alias("high")) for m in values]
+    out = each.agg(F.count(F.lit(1)).alias("n"), F.array(*bounds).alias("m")).where("n > 0")  # `iterations` values
+    return out.select(F.explode("m").alias("m")).select("m.*")
 
 
 def run_stats(log: DataFrame, run: str, code: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agonix.operators import features as X
 from agonix.operators import metrics as M
+from agonix.operators import rating as R
 from agonix.operators import splits as S
 from agonix.sources.contests import SQL, accepted, contests
 
@@ -133,7 +134,9 @@ def q_extremes(spark, sf_dir):
 
 @query("bootstrap_intervals")
 def q_boot(spark, sf_dir):
-    return M.bootstrap(predictions(spark, sf_dir).where("ts_ms is not null"), iterations=200)
+    """The form predictor and its difference from the rating."""
+    elo = R.with_elo(contests(spark, sf_dir), pool=None).select("contest_id", "elo_p")
+    return M.bootstrap(predictions(spark, sf_dir).join(elo, "contest_id"))
 
 
 @query("run_stats", """WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)

@@ -75,3 +75,20 @@ def test_ranges_across_the_year(spark):
 
     df = spark.createDataFrame([("Dec 5 - Jan 1, 2026",), ("Jan 15 - Feb 9, 2026",), ("Dec 5 - 9, 2026",)], "raw string")
     assert [(str(r.x.start), str(r.x.end)) for r in df.select(parse_range(F.col("raw")).alias("x")).collect()] == [("2025-12-05", "2026-01-01"), ("2026-01-15", "2026-02-09"), ("2026-12-05", "2026-12-09")]
+
+
+def test_bootstrap_bounds_and_paired_differences(spark):
+    rows = [(i, float(i % 10) / 10 + 0.05, int(i % 3 == 0), 0.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "contest_id long, p double, y int, elo_p double")
+    got = {r.metric: (r.low, r.high) for r in M.bootstrap(df).collect()}
+    assert set(got) == {"log_loss", "brier", "accuracy", "log_loss_minus_elo", "brier_minus_elo"}
+    for name, v in (("brier", [(p - y) ** 2 for _, p, y, _ in rows]), ("brier_minus_elo", [(p - y) ** 2 - 0.25 for _, p, y, _ in rows])):
+        mean = sum(v) / len(v)
+        half = 1.96 * (sum((x - mean) ** 2 for x in v) / len(v) / len(v)) ** 0.5
+        assert got[name] == pytest.approx((mean - half, mean + half), abs=0.1 * half)
+    assert {r.metric for r in M.bootstrap(df.drop("elo_p")).collect()} == {"log_loss", "brier", "accuracy"}
+
+
+def test_a_row_alone_may_be_drawn_or_not(spark):
+    one = spark.createDataFrame([(1, 0.8, 1)], "contest_id long, p double, y int")
+    assert {(r.metric, r.low == r.high) for r in M.bootstrap(one).collect()} == {("log_loss", True), ("brier", True), ("accuracy", True)}
