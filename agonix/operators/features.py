@@ -207,6 +207,12 @@ SIDE_FEATURES = [
     "last30d_contests", "last30d_win_rate", "last60d_contests", "last60d_win_rate", "days_since_last", "hours_since_last", "has_prior", "is_back_to_back", "inactivity", "same_day_before",
     "contests_last7d", "contests_last14d", "contests_last30d", "legs_last7d", "legs_last14d", "legs_last30d",
 ]
+MORE_FEATURES = [
+    "elo", "avg_opp_elo_last5", "avg_opp_elo_last10", "avg_opp_rate_last5", "avg_opp_rate_last10", "schedule_strength", "wins_above_median", "losses_below_median",
+    "leg_breadth", "top_leg_share", "leg_entropy", "unknown_leg_count", "avg_rounds_won", "avg_rounds_lost", "has_split", "attack_rate", "defense_rate",
+    "roster_size", "roster_jaccard", "roster_last3_overlap", "days_since_same_roster", "players_seen", "shared_prior_avg",
+    "avg_appearances", "min_appearances", "max_appearances", "debuts", "avg_wins", "avg_appearances_30d", "international_appearances", "major_appearances",
+]
 H2H_FEATURES = ["h2h_meetings", "h2h_wins_a", "h2h_wins_b", "h2h_rate_a", "h2h_leg_diff", "h2h_last90d", "h2h_last180d", "h2h_last365d", "h2h_last_winner", "h2h_same_family", "h2h_same_region"]
 
 
@@ -226,3 +232,20 @@ def assemble(c: DataFrame) -> DataFrame:
         F.year("ts").cast("long").alias("season_year"), F.month("ts").cast("long").alias("contest_month"),
         (F.col("winner") == F.col("side_a")).cast("long").alias("a_won"),
     )
+
+
+def assemble_all(c: DataFrame) -> DataFrame:
+    """assemble() with rating, opponent strength, leg pool, rounds, roster continuity and player experience of both sides,
+    and the rating's difference and probability and the overlap of the leg pools."""
+    from .rating import SCALE, elo, opponent_strength
+
+    s = opponent_strength(roster_continuity(rounds(leg_pool(record(sides(c))))), elo(c, pool=None))
+    s = s.join(player_experience(sides(c)), ["contest_id", "side"], "left")
+    block = F.struct(*MORE_FEATURES, "legs_known")
+    folded = s.groupBy("contest_id").agg(F.max(F.when(F.col("side") == "A", block)).alias("_a"), F.max(F.when(F.col("side") == "B", block)).alias("_b"))
+    f = assemble(c)
+    cols = [F.col(f"_{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b") for n in MORE_FEATURES]
+    diff = F.col("_a.elo") - F.col("_b.elo")
+    return f.join(folded, "contest_id").select(
+        *f.columns, *cols, diff.alias("elo_diff"), (1 / (1 + F.pow(F.lit(10.0), -diff / SCALE))).alias("elo_p"), F.size(F.array_intersect("_a.legs_known", "_b.legs_known")).cast("long").alias("pool_overlap"),
+    )

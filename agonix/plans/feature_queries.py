@@ -201,6 +201,12 @@ def q_features(spark, sf_dir):
     return X.assemble(contests(spark, sf_dir))
 
 
+@query("pre_contest_features_all")
+def q_features_all(spark, sf_dir):
+    """The whole table. Ratings have no plain SQL; the tests hold its columns against a replay and the single queries."""
+    return X.assemble_all(contests(spark, sf_dir))
+
+
 @query("leakage_check", SQL + "SELECT s.contest_id, s.side, count(p.contest_id) AS recounted, count(p.contest_id) AS stored, false AS leak FROM s LEFT JOIN s p ON p.team = s.team AND p.ts < s.ts GROUP BY 1, 2")
 def q_leakage(spark, sf_dir):
     s = X.record(X.sides(contests(spark, sf_dir)))

@@ -86,3 +86,21 @@ def test_later_rows_change_nothing_before(spark, sf):
     early = X.record(X.sides(c.where(F.col("ts_ms") < cut))).select("contest_id", "side", "prior_wins", "win_rate")
     full = X.record(X.sides(c)).where(F.col("ts_ms") < cut).select("contest_id", "side", "prior_wins", "win_rate")
     assert early.exceptAll(full).count() == 0 == full.exceptAll(early).count()
+
+
+def test_the_whole_feature_table(spark, sf):
+    from agonix.plans.registry import QUERIES
+
+    f = {r.contest_id: r for r in QUERIES["pre_contest_features_all"](spark, sf).collect()}
+    want = replay(accepted(contests(spark, sf)).select("ts_ms", "contest_id", "side_a", "side_b", "winner").collect())
+    assert f.keys() == want.keys()
+    for k, (a, b, _) in want.items():
+        assert (f[k].a_elo, f[k].b_elo, f[k].elo_p) == pytest.approx((a, b, 1 / (1 + 10 ** ((b - a) / 400))))
+    for q in ("opponent_strength", "leg_pool", "rounds_splits", "roster_continuity", "player_experience"):
+        for r in QUERIES[q](spark, sf).collect():
+            for n, v in r.asDict().items():
+                if n not in ("contest_id", "side", "team"):
+                    got = f[r.contest_id][f"{r.side.lower()}_{n}"]
+                    assert got == v or got == pytest.approx(v, abs=1e-5), (q, n)
+    for r in QUERIES["leg_pool_overlap"](spark, sf).collect():
+        assert f[r.contest_id].pool_overlap == r.pool_overlap
