@@ -8,8 +8,8 @@ Two facts make this exact. White space always separates pre-tokens. And a token
 text if every neighbouring pair is the encoding of its own text, so where a window and a side share tokens at the same
 place, the side's tokens beyond them stay valid.
 
-Within a task, words seen before come from a bounded cache. The cache is only a cache: a word's ids don't depend on
-its neighbours, because white space is dropped before the merges.
+Within a task, words seen before come from a bounded cache of two generations. The cache is only a cache: a word's ids
+don't depend on its neighbours, because white space is dropped before the merges.
 
 Defined cases: a null text counts as empty and has no ids; strings of the file's special tokens inside a text become
 those tokens, as the library does by default; repeated rows are encoded each for itself; an empty table gives no rows;
@@ -32,11 +32,12 @@ from .common import small_batches, text_or_empty, tokenizer_path
 
 #: Texts beyond this many code points are cut into parts of PART.
 LONG, PART = 1 << 16, 1 << 15
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 400_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 _LATIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")  # lower-case, composed, one letter class
 _TAIL = ".,;:!?"
+_MARK = re.compile(r"[.,;:!?](?<=[^\W_].)(?!\S)")  # a sign that ends a word: a pre-token of its own
 _SPACE = re.compile(r"\s")
 
 
@@ -48,16 +49,22 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word -> packed ids; a word that isn't there yet is encoded on the way."""
+    """word -> packed ids, of the words of this generation; a word that isn't there yet comes from the generation before
+    or is encoded on the way."""
 
-    def __init__(self, encoder: "Encoder"):
+    def __init__(self, encoder: "Encoder", before: dict):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.before = encoder, before
 
     def __missing__(self, word: str) -> bytes:
-        packed = self[word] = self.encoder.word(word)
+        packed = self[word] = self.before.get(word) or self.encoder.word(word)
         return packed
 
+    def next(self) -> "_Words":
+        """A new generation; words that are still in use come over from this one, which forgets the one before it."""
+        self.before = {}
+        return _Words(self.encoder, self)
+
 
 class Encoder:
     """Whole-text encoding by words, and joins of separately encoded parts."""
@@ -73,7 +80,7 @@ class Encoder:
         self.tok.no_padding()
         self.model = self.tok.model
         self.symbols = _byte_symbols()
-        self.cache = _Words(self)
+        self.cache = _Words(self, {})
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -99,9 +106,8 @@ class Encoder:
     def packed(self, text: str) -> bytes:
         """Packed ids of a whole text, equal to plain()'s."""
         if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        words = _PLAIN_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
-        return b"".join(map(self.cache.__getitem__, words))
+            self.cache = self.cache.next()
+        return b"".join(map(self.cache.__getitem__, words_of(text)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
@@ -168,6 +174,20 @@ class Tokens:
         return None
 
 
+def words_of(text: str) -> list[str]:
+    """The text's words, which are encoded apart. In texts of Latin-1 letters without special tokens case folds and signs at
+    a word's end are words themselves, so that the cache holds a word once."""
+    if _ODD_SPACE.search(text):
+        return _PLAIN_SPACE.split(text)
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = _MARK.sub(r" \g<0>", text.lower())
+        except UnicodeEncodeError:
+            pass
+    return text.split()
+
+
 def _pack(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -206,7 +226,7 @@ def encode(docs: DataFrame, column: str = "text", path: str | None = None, then:
     ``then``: a mapInArrow function over these rows and its schema, run in the same pass."""
     path = path or tokenizer_path()
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids") if "ids" in docs.columns else docs
+    docs = docs.drop("ids")
     size = F.length(text_or_empty(column))
     schema = _add(docs.schema, T.StructField("ids", T.BinaryType()))
     code = encoder_of(path, column)
@@ -279,6 +299,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, column: str = "text", path: str | None = None) -> DataFrame:
     """The documents with ``ids`` and ``decoded`` and without their text, in one pass."""
     path = path or tokenizer_path()
-    rest = [f for f in docs.schema.fields if f.name not in (column, "ids", "decoded")]
+    docs = docs.drop("ids", "decoded")
+    rest = [f for f in docs.schema.fields if f.name != column]
     schema = T.StructType([*rest, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
     return encode(docs, column, path, then=(decoder_of(path, drop=(column,)), schema))

@@ -15,10 +15,13 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session gets a new temporary one; on a
+    cluster that is an error, as no machine's own folder is seen by the others."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="agonix-")
     if not spark.sparkContext.getCheckpointDir():
@@ -44,6 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def among(df: DataFrame, key: str, ids: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids``, a narrow frame of distinct long ids: filtered before any shuffle
+    while there are at most ``most`` ids (32 MB), beyond that by a shuffled join."""
+    ids = stored(ids, "ids")
+    small = ids.count() <= most
+    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores in front as it takes to differ from all columns in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, scratch
+from .common import BLANKS, scratch, stored
 
 _STATE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,7 +79,7 @@ def _groups(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
     schema = f"text_sha256 string, best struct<neg_chars: bigint, no_id: boolean, doc_id: {best}, at: struct<file: string, row: bigint>>, n bigint, batch_id int"
     changes = spark.read.schema(schema).option("basePath", sink).parquet(sink) if _ran(query) else spark.createDataFrame([], schema)
     last = F.max(F.struct("batch_id", "best", "n")).alias("last")
-    return changes.groupBy("text_sha256").agg(last).select("text_sha256", "last.best", "last.n")
+    return stored(changes.groupBy("text_sha256").agg(last).select("text_sha256", "last.best", "last.n"), "dedup-groups")
 
 
 def _stream(spark: SparkSession, batch: DataFrame, path: str, files_per_batch: int) -> DataFrame:
@@ -95,22 +95,25 @@ def _ran(query) -> bool:
     return any((p["numInputRows"] if isinstance(p, dict) else p.numInputRows) for p in query.recentProgress)
 
 
-def dedup_exact(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def dedup_exact(spark: SparkSession, path: str, files_per_batch: int = 1000, per_task: int = 256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of the Parquet table at ``path``.
 
-    ``files_per_batch`` bounds a micro-batch of the stream; the result does not depend on it.
+    ``files_per_batch`` bounds a micro-batch of the stream, ``per_task`` about how many copies of a text meet one copy of
+    their keeper; the result does not depend on them.
     """
     groups = _groups(spark, path, files_per_batch)
     rows = _rows(spark.read.parquet(path))
     found = rows.drop("norm").join(groups, "text_sha256").select("*", F.col("best.at").alias("keep_at"), F.col("best.doc_id").alias("keep_id"))
-    ids = found.select("at", "keep_at", "doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256")
-
-    # A hit is a row that shares its digest: its text meets the keeper's text. One shuffle brings the texts of hits
-    # to their locators, a second one, of hits alone, to the keeper.
-    hits = ids.where("group_size > 1").select("at", "keep_at", F.col("text_sha256").alias("digest"))
-    texts = rows.select("at", "norm").join(hits, "at")
-    keepers = texts.where(F.col("at") == F.col("keep_at")).select(F.col("digest").alias("keeper_digest"), F.col("norm").alias("keeper_norm"))
-    bad = texts.join(keepers, F.col("digest") == F.col("keeper_digest")).where(F.col("norm") != F.col("keeper_norm")).select("digest").distinct()
+    ids = stored(found.select("at", "keep_at", "doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256"), "dedup-rows")
+
+    # A hit is a row that shares its digest: its text meets the keeper's text. One shuffle brings the texts of hits to
+    # their locators, a second one, of hits alone, to the keeper; a large group is dealt to several copies of its keeper.
+    hits = ids.where("group_size > 1").select("at", "keep_at", F.col("text_sha256").alias("digest"), F.ceil(F.col("group_size") / per_task).alias("shares"))
+    texts = stored(rows.select("at", "norm").join(hits, "at"), "dedup-hits")
+    own = texts.where(F.col("at") != F.col("keep_at")).select("digest", "norm", F.pmod(F.xxhash64("at"), "shares").alias("share"))
+    shares = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    keepers = texts.where(F.col("at") == F.col("keep_at")).select("digest", F.col("norm").alias("keeper_norm"), shares)
+    bad = own.join(keepers, ["digest", "share"]).where(F.col("norm") != F.col("keeper_norm")).select("digest").distinct()
     return _settle(spark, rows, ids, bad)
 
 

@@ -108,7 +108,7 @@ def scan(docs: DataFrame, column: str = "text", path: str | None = None, ratio:
     """The documents with ``spans``: kind, start and end of every secret in the whole text."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
     small_batches(docs.sparkSession)
-    docs = docs.drop("spans") if "spans" in docs.columns else docs
+    docs = docs.drop("spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner.of(path, ratio, least)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_or_empty
+from .common import small_batches, stored, text_or_empty, unused
 
 #: Look-alike letters of other scripts, and digits or signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ο": "o", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ı": "i", "ł": "l", "ø": "o"}
@@ -110,7 +111,11 @@ class Scorer:
             start = end - size + 1
             if (start == 0 or _EDGE.match(text[start - 1])) and (end + 1 == len(text) or _EDGE.match(text[end + 1])):
                 (spared if weight is None else hits).append((start, end, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+        if spared:
+            begins, reach = zip(*sorted((x, y) for x, y, _ in spared), strict=True)
+            reach = np.maximum.accumulate(reach)  # how far phrases that begin up to here reach
+            hits = [h for h in hits if not (i := bisect_right(begins, h[0])) or reach[i - 1] < h[1]]
+        total = sum(w for _, _, w in hits)
         return total / (1 + text.count(" ")) ** 0.5, total
 
 
@@ -120,10 +125,11 @@ def _features(df: DataFrame, lexicon: dict[str, float], exceptions: list[str], n
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             f = np.array([scorer.features(x or "") for x in texts], dtype=float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(f[:, 0]), pa.array(f[:, 1])], names=[*names, "dense", "total"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(f[:, 0]), pa.array(f[:, 1])], names=[*names, dense, total])
 
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)) + ", dense double, total double"
-    return df.select(*names, *([] if "text" in names else ["text"])).mapInArrow(run, schema)
+    dense, total = unused("dense", names), unused("total", names)
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip([*names, dense, total], [*kinds, "double", "double"], strict=True))
+    return df.select(*[F.col(f"`{n}`") for n in names], *([] if "text" in names else ["text"])).mapInArrow(run, schema)
 
 
 class Model:
@@ -132,12 +138,14 @@ class Model:
     def __init__(self, lexicon: dict[str, float], exceptions: list[str], curve: tuple[float, float, float]):
         self.lexicon, self.exceptions, self.curve = lexicon, exceptions, curve
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns ``keep`` and ``score``."""
+    def score(self, docs: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+        """The columns ``keep`` and, in the column ``name``, the score; a column of that name in ``keep`` is replaced."""
+        keep = [n for n in keep if n.lower() != name.lower()]
         kinds = [docs.schema[n].dataType.simpleString() for n in keep]
         a, b, c = self.curve
         f = _features(docs, self.lexicon, self.exceptions, keep, kinds)
-        return f.select(*keep, (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("dense") + F.lit(c) * F.col("total"))))).alias("score"))
+        dense, total = (F.col(f"`{n}`") for n in f.columns[-2:])
+        return f.select(*[F.col(f"`{n}`") for n in keep], (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * dense + F.lit(c) * total)))).alias(name))
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -172,8 +180,8 @@ def fit(labelled: DataFrame, terms: int = 2000, sample: int = 20000, exceptions:
 
 
 def held_out():
-    """True for one doc_id in five: never learned from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """True for one doc_id in five, and for a null one (an empty text): never learned from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 20000) -> DataFrame:
@@ -182,5 +190,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 20000) -> Da
     The bound makes the labels' side a broadcast of known size, so no text is shuffled; what is learned reads the rows
     from the shared folder."""
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out()).distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    # Only hashes that can be among the first leave their task: twice the expected share, so it hardly ever holds fewer.
+    part = min(1.0, 2.0 * sample / max(1, known.count()))
+    h = F.xxhash64("doc_id")
+    known = known.where(F.pmod(h, F.lit(1 << 30)) < int(part * (1 << 30))).orderBy(F.pmod(h, F.lit(1 << 30)), "doc_id", "toxic").limit(sample)
     return stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "labelled")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agonix.llm.common import stored, table
+from agonix.llm.common import stored, table, unused
 from agonix.llm.line_dedup import dedup_lines
 from agonix.llm.near_dedup import near_duplicates
 from agonix.llm.packing import pack, pieces
@@ -24,13 +24,14 @@ ORACLE_SQL = None
 def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
     """The documents with a new text and its length."""
     out = docs.withColumn("text", F.when(F.col("text").isNotNull(), text))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*columns)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of at least 0.5 go."""
-    scored = fit(training_rows(docs, table(spark, sf_dir, "labels"))).score(docs, docs.columns)
-    return scored.where("score < 0.5").select(*docs.columns)
+    score = unused("toxicity", docs.columns)
+    scored = fit(training_rows(docs, table(spark, sf_dir, "labels"))).score(docs, docs.columns, score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    gone = near_duplicates(docs, words=5, num=80, den=100).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    key = unused("gone", docs.columns)
+    gone = near_duplicates(docs, words=5, num=80, den=100).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
