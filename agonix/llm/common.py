@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def among(df: DataFrame, key: str, ids: DataFrame, most: int = 1 << 22) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is in ``ids``, a narrow frame of distinct long ids: filtered before any shuffle
+    """The rows of ``df`` whose ``key`` is in ``ids``, a narrow frame of long ids: filtered before any shuffle
     while there are at most ``most`` ids (32 MB), beyond that by a shuffled join."""
     ids = stored(ids, "ids")
     small = ids.count() <= most
