@@ -15,7 +15,7 @@ from agonix.llm.exact_dedup import dedup_exact
 from agonix.llm.html_extract import Tree, _labels, _silver, extract, layouts, train
 from agonix.llm.near_dedup import near_duplicates, needed
 from agonix.llm.toxicity import Scorer, fit, fold, held_out
-from agonix.llm.warc import parsed, read_archive, records, write_archive
+from agonix.llm.warc import archive_round_trip, parsed, read_archive, read_record, records, write_archive
 
 
 def test_exact_dedup_with_ties_nulls_and_repeats(spark, tmp_path):
@@ -93,9 +93,42 @@ def test_warc_round_trip(spark, tmp_path):
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in parsed(back).collect()), key=str)
     d = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
     assert got == sorted([(1, 8, d("<p>x</p>"), "revisit", 2), (2, 8, d("<p>x</p>"), "response", None), (3, 0, d(""), "revisit", 4), (4, 0, d(""), "response", None), (5, 2, d("é"), "revisit", 5), (5, 2, d("é"), "response", None)], key=str)
-    rec = {r.page_id: bytes(r.record) for r in records(back).collect()}
+    rec = {read_record(r.record, r.same)[0]: bytes(r.record) for r in records(back).collect() if b"http://e" not in r.record}
     head, _, block = rec[2].partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and block == b"<p>x</p>\r\n\r\n" and b"Content-Length: 8" in head
+    head, _, block = rec[1].partition(b"\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: revisit") and block == b"\r\n\r\n" and b"WARC-Profile: " in head and b"Content-Length: 0" in head
+
+
+def test_warc_equal_rows_line_ends_and_shares(spark, monkeypatch):
+    monkeypatch.setattr("agonix.llm.warc._SHARE", 4)
+    odd = ["http://a\r\nWARC-Type: revisit", "%0A%250D%", "%2\r%25", "a\r\n\r\nb", " é ", ""]
+    rows = [(7, "http://x", "same"), (7, "http://x", "same"), *((i, odd[i % 6], "hot") for i in range(30)), (None, None, "none"), (None, None, "none")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [tuple(r) for r in archive_round_trip(frame).collect()]
+    assert sorted((x[3], x[4]) for x in got if x[1] == 4 and x[0] == 7) == [("response", None), ("revisit", 7)]
+    hot = {x[0]: x for x in got if x[1] == 3}
+    assert len(hot) == 30 and all(hot[i][3:] == (("response", None) if i == 29 else ("revisit", 29)) + (odd[i % 6],) for i in range(30))
+    assert sorted(x[3] for x in got if x[0] is None) == ["response", "revisit"] and len(got) == len(rows)
+    assert {x[3] for x in archive_round_trip(frame, min_bytes=5).collect()} == {"response"}
+    assert archive_round_trip(frame.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        read_record(b"WARC/1.1\r\nWARC-Record-ID: <urn:x-page:1:2>\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
+
+
+def test_search_takes_vectors_of_extreme_length(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 1e200]), (2, [5e-324, 0.0]), (3, [1e308, -1e308]), (4, [float("inf"), 1.0])]
+    got = {r.vec_id: r.score for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    want = {1: 3 / 10**0.5, 2: 1 / 5**0.5, 3: -1 / 10**0.5}
+    assert set(got) == {1, 2, 3} and all(abs(got[k] - w / (1 if k != 1 else 1)) < 1e-12 for k, w in want.items())
+
+
+def test_boilerplate_inside_articles_is_left_out():
+    prose = "A long sentence about the matter at hand, with several words in it. Another one follows, and then a third."
+    inner = '<section class="comments"><h3>Comments</h3><div class="comment"><p>What a fine piece, I liked it.</p></div></section><aside class="ad"><p>Buy this now, it is cheap.</p></aside><form class="signup"><p>Sign up for our letter.</p><input></form>'
+    page = lambda i: f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><p>{prose}</p>{inner}<p>{prose} End {i}.</p></article><footer>&copy; x</footer></body></html>"
+    model = train([_silver(page(i)) for i in range(60)] + [Tree().read(h) for h in layouts()])
+    assert model.extract(page(99)) == f"Title 99\n{prose}\n{prose} End 99."
 
 
 def test_search_equals_brute_force(spark):
