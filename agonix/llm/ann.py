@@ -43,9 +43,11 @@ def _coder(dim: int):
             vectors = batch.column("vector").to_pylist()
             good = [i for i, (k, v) in enumerate(zip(ids, vectors, strict=True)) if k is not None and v is not None and len(v) == dim and None not in v]
             x = np.array([vectors[i] for i in good], dtype=np.float64).reshape(len(good), dim)
+            ok = np.isfinite(x).all(1) & (x != 0).any(1)
+            x, kept = x[ok], [i for i, k in zip(good, ok, strict=True) if k]
+            # A power of two changes no cosine, and squares of very large or small components stay in range.
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
             norm = np.sqrt((x * x).sum(1))
-            ok = np.isfinite(norm) & (norm > 0)
-            x, norm, kept = x[ok], norm[ok], [i for i, k in zip(good, ok, strict=True) if k]
             turned = (x / norm[:, None]) @ turn
             fit = np.abs(turned).sum(1) / np.sqrt(dim)
             codes = np.packbits(turned >= 0, axis=1)
