@@ -324,16 +324,24 @@ def layouts(many: int = 120, seed: int = 3) -> list[str]:
 
 
 def _silver(html: str) -> Tree | None:
-    """A page that its own one article or main element labels; None for others."""
+    """A page that its own one article or main element labels, but for parts in it that are boilerplate by their element or
+    by their class, id or role; None for others."""
     found = re.findall(r"<(article|main)\b", html)
     if len(found) != 1:
         return None
-    return Tree().read(re.sub(r"<(article|main)\b", r'<\1 data-label="1"', html, count=1))
+    tree = Tree().read(re.sub(r"<(article|main)\b", r'<\1 data-label="1"', html, count=1))
+    for i, (kind, bad, good) in enumerate(zip(tree.kind, tree.bad, tree.good, strict=True)):
+        if tree.label[i] is None and (kind == 0 or bad and not good):
+            tree.label[i] = False
+    return tree
 
 
 def fit(pages: DataFrame, sample: int = 200) -> Model:
-    """Train on at most ``sample`` of the pages, by hash of page_id, and on layouts()."""
-    rows = pages.where("html is not null").select(F.xxhash64("page_id").alias("h"), "html").orderBy("h").limit(sample).collect()
+    """Train on at most ``sample`` of the pages, by hash, and on layouts(). Only the hashes are ordered; whole pages come to the
+    driver for the chosen ones alone."""
+    hashed = pages.where("html is not null").select(F.xxhash64("page_id", "html").alias("h"), "html")
+    chosen = [r["h"] for r in hashed.select("h").orderBy("h").limit(sample).collect()]
+    rows = hashed.where(F.col("h") <= F.lit(chosen[-1])).limit(sample).collect() if chosen else []
     silver = [t for t in (_silver(r["html"]) for r in rows) if t is not None]
     return train(silver + [Tree().read(h) for h in layouts()])
 
