@@ -34,9 +34,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/agonix-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there. A ``narrow`` table (a few numbers a
+    row) is written by two tasks a core, or one for 16 shuffle partitions if that is more, without a further shuffle:
+    a file for every shuffle partition takes longer to open than such rows take to write."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 16))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
 def among(df: DataFrame, key: str, ids: DataFrame, most: int = 1 << 22) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in ``ids``, a narrow frame of long ids: filtered before any shuffle
     while there are at most ``most`` ids (32 MB), beyond that by a shuffled join."""
-    ids = stored(ids, "ids")
+    ids = stored(ids, "ids", narrow=True)
     small = ids.count() <= most
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
