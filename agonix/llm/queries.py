@@ -13,9 +13,11 @@ from .common import table
 from .exact_dedup import dedup_exact
 from .html_extract import extract
 from .html_extract import fit as fit_pages
+from .importance import resample
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack, pieces
+from .quality_rules import judge, references
 from .secrets import count_of, listed, scan
 from .toxicity import fit, held_out, training_rows
 from .warc import archive_round_trip
@@ -72,6 +74,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(spark, f"{sf_dir}/documents.parquet")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, references(docs), ["doc_id"]).drop("char_distance", "word_distance")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -83,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ann_search": op9_ann_search,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_rules": op11_quality_rules,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
