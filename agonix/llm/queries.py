@@ -17,6 +17,7 @@ from .importance import resample
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack, pieces
+from .prefix_trie import forked, prefix_trie, sequences
 from .quality_rules import judge, references
 from .secrets import count_of, listed, scan
 from .toxicity import fit, held_out, training_rows
@@ -79,6 +80,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, references(docs), ["doc_id"]).drop("char_distance", "word_distance")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(forked(sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann_search": op9_ann_search,
     "op10_toxicity": op10_toxicity,
     "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -124,5 +130,34 @@ SELECT doc_id,
        row_number() OVER (PARTITION BY n ORDER BY c DESC, doc_id) = 1 AS kept,
        sha256(n) AS text_sha256
 FROM t
+""",
+    "op12_conversation_trie": r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), i AS (
+  SELECT DISTINCT conv_id AS c, conv_id - conv_id % 5 AS b,
+         xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h
+  FROM o
+), r AS (
+  SELECT c, 0 AS own, pos, role, text FROM i JOIN o ON o.conv_id = b WHERE pos <= h
+  UNION ALL
+  SELECT c, 1, pos, role, text FROM i JOIN o ON o.conv_id = c WHERE pos > h
+), q AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY own, pos) FILTER (WHERE text IS NOT NULL) AS turns FROM i LEFT JOIN r USING (c) GROUP BY c
+), p AS (
+  SELECT c, coalesce(len(turns), 0) AS n, unnest(range(coalesce(len(turns), 0) + 1)) AS d, turns FROM q
+), x AS (
+  SELECT d, coalesce(turns[1:d], []) AS pre, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM p GROUP BY ALL
+), k AS (
+  SELECT d - 1 AS d, pre[1:d-1] AS pre, count(*) AS n_children FROM x WHERE d > 0 GROUP BY ALL
+), y AS (
+  SELECT x.*, coalesce(n_children, 0) AS n_children, CASE WHEN x.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(x.pre[x.d].text) END AS saved FROM x LEFT JOIN k ON k.d = x.d AND k.pre = x.pre
+), u AS (
+  SELECT e AS d, pre[1:e] AS pre, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT pre, saved, n_children, unnest(range(d + 1)) AS e FROM y) GROUP BY ALL
+)
+SELECT y.conv_id, y.d AS depth, z.conv_id AS parent_conv_id, y.n_convs, y.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(y.ends) AS ends_sha256
+FROM y JOIN u ON u.d = y.d AND u.pre = y.pre LEFT JOIN y z ON z.d = y.d - 1 AND z.pre = y.pre[1:y.d-1]
 """,
 }
