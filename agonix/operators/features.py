@@ -239,7 +239,7 @@ def assemble_all(c: DataFrame) -> DataFrame:
     and the rating's difference and probability and the overlap of the leg pools."""
     from .rating import SCALE, elo, opponent_strength
 
-    s = opponent_strength(roster_continuity(rounds(leg_pool(record(sides(c))))), elo(c, pool=None))
+    s = opponent_strength(roster_continuity(rounds(leg_pool(record(sides(c))))), elo(c))
     s = s.join(player_experience(sides(c)), ["contest_id", "side"], "left")
     block = F.struct(*MORE_FEATURES, "legs_known")
     folded = s.groupBy("contest_id").agg(F.max(F.when(F.col("side") == "A", block)).alias("_a"), F.max(F.when(F.col("side") == "B", block)).alias("_b"))

@@ -1,20 +1,32 @@
-"""Sequential ratings. A rating depends on all earlier ones of its pool, so each pool is one ordered pass in Python over
-Arrow batches; pools run in parallel and only the ratings of a pool's teams (and, if asked for, the two heaps of its
-running median) are held."""
+"""Sequential ratings, spread over tasks.
+
+A rating depends on all earlier ones of both sides, so it is no window. Time is cut into slices of about equal size, at
+the bounds of days. Within a slice, sides that meet directly or through others form a connected group; groups don't touch
+each other, so each is one ordered pass over its contests, and all groups of a slice run in parallel. The ratings a slice
+ends with are a table that the next slice joins. No task ever has more than one slice of the contests, and it holds the
+ratings of its group's sides only.
+
+The running median of all ratings so far is exact and takes no ordered pass over everything: a slice can move the median
+by no more ranks than it has values, so its task needs, of everything before, only the values whose rank lies that close
+to the middle. Counts by slice and value's whole part say where these are.
+"""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agonix.functions.windows import prior, rate, with_last_rows
+from agonix.functions.shared import stored
+from agonix.functions.windows import DAY_MS, prior, rate, with_last_rows
 from agonix.sources.contests import accepted
 
 START, K, SCALE = 1500.0, 24.0, 400.0
+SLICES = 8
 
 
 def expected(own: float, other: float) -> float:
@@ -23,74 +35,209 @@ def expected(own: float, other: float) -> float:
 
 
 class Median:
-    """Exact running median of all values so far."""
+    """Exact running median of values that are added, after ``below`` values under and ``above`` values over ``known``."""
 
-    def __init__(self):
-        self.low, self.high = [], []
+    def __init__(self, known: list[float] = (), below: int = 0, above: int = 0):
+        known = sorted(known)
+        half = (below + len(known) + above) // 2 - below
+        self.low, self.high = [-x for x in known[:half]], known[half:]
+        heapq.heapify(self.low)
+        self.below, self.above = below, above
 
     def add(self, x: float) -> None:
-        heapq.heappush(self.low, -heapq.heappushpop(self.high, x))
-        if len(self.low) > len(self.high):
+        if self.high and x >= self.high[0]:
+            heapq.heappush(self.high, x)
+        else:
+            heapq.heappush(self.low, -x)
+        while self.below + len(self.low) > self.above + len(self.high):
             heapq.heappush(self.high, -heapq.heappop(self.low))
+        while self.above + len(self.high) > self.below + len(self.low) + 1:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
 
     def value(self, empty: float) -> float:
-        if not self.high:
+        n, m = self.below + len(self.low), self.above + len(self.high)
+        if n + m == 0:
             return empty
-        return self.high[0] if len(self.high) > len(self.low) else (self.high[0] - self.low[0]) / 2
+        return self.high[0] if m > n else (self.high[0] - self.low[0]) / 2
+
+
+def _groups(frames: Iterator[pd.DataFrame], key: str, columns: list[str]) -> Iterator[tuple[object, list[tuple]]]:
+    """The rows of each (key, ts_ms) in order, over the borders of batches."""
+    now, held = None, []
+    for frame in frames:
+        for k, t, *rest in frame[[key, "ts_ms", *columns]].itertuples(index=False):
+            if (k, t) != now:
+                if held:
+                    yield now[0], held
+                now, held = (k, t), []
+            held.append((*rest,))
+    if held:
+        yield now[0], held
+
+
+def _rate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by group, ts_ms and contest_id: what each contest's sides were rated before their timestamp group, and
+    right after the contest; within a timestamp group results count one after another."""
+    names = ["contest_id", "ts_ms", "side_a", "side_b", "elo_a", "elo_b", "after_a", "after_b"]
+    group, ratings, out = None, {}, []
+    for g, rows in _groups(frames, "group", ["ts_ms", "contest_id", "side_a", "side_b", "a_won", "init_a", "init_b"]):
+        if g != group:
+            group, ratings = g, {}
+        before = [(ratings.get(a, x), ratings.get(b, y)) for _, _, a, b, _, x, y in rows]
+        for (t, c, a, b, won, x, y), (ea, eb) in zip(rows, before, strict=True):
+            ra, rb = ratings.get(a, x), ratings.get(b, y)
+            e = expected(ra, rb)
+            ratings[a], ratings[b] = ra + K * (won - e), rb + K * ((1.0 - won) - (1.0 - e))
+            out.append((c, t, a, b, ea, eb, ratings[a], ratings[b]))
+        if len(out) >= 10_000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    yield pd.DataFrame(out, columns=names)
+
+
+def time_slices(c: DataFrame, slices: int) -> DataFrame:
+    """``c`` with ``slice``: days in order, about as many rows in each slice. One row a day is counted and broadcast."""
+    day = F.floor(F.col("ts_ms") / DAY_MS)
+    days = c.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("_day", F.floor(before * slices / F.sum("_n").over(Window.partitionBy())).cast("int").alias("slice"))
+    return c.join(F.broadcast(days), day == F.col("_day")).drop("_day")
+
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every larger end has one edge, to a team that is nowhere a larger end."""
+    end = lambda c, up: e.select("slice", F.col(c).alias("x"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = end("u", 1).unionByName(end("v", 0)).groupBy("slice", "x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(slice, a, b) -> (slice, team, group): the smallest team that each team is connected to within its slice.
+
+    Large-star and small-star steps in turn; the rounds grow with the logarithm of the longest path, each is a table."""
+    up = lambda df: df.select("slice", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e = stored(up(pairs), "pairs")
+    alone = pairs.select("slice", F.explode(F.array("a", "b")).alias("team")).distinct()
+    while not _settled(e):
+        both = e.unionByName(e.select("slice", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("slice", "u").agg(F.min("v").alias("m")).select("slice", "u", F.least("u", "m").alias("m"))
+        large = both.join(low, ["slice", "u"]).where("v > u").select("slice", F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("slice", "u").agg(F.min("v").alias("m"))
+        small = large.join(least, ["slice", "u"]).where("v <> m").select("slice", F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stored(small.unionByName(least.select("slice", "u", F.col("m").alias("v"))).distinct(), "pairs")
+    return alone.join(e.select("slice", F.col("u").alias("team"), F.col("v").alias("group")), ["slice", "team"], "left").withColumn("group", F.coalesce("group", "team"))
+
+
+def _ratings(c: DataFrame, slices: int) -> DataFrame:
+    """slice, contest_id, ts_ms, side_a, side_b, elo_a, elo_b, after_a, after_b of accepted contests, a slice at a time."""
+    spark = c.sparkSession
+    rows = time_slices(c.select("ts_ms", "contest_id", "side_a", "side_b", (F.col("winner") == F.col("side_a")).cast("double").alias("a_won")), slices)
+    rows = stored(rows, "contests", by="slice")
+    groups = stored(connected(rows.select("slice", F.col("side_a").alias("a"), F.col("side_b").alias("b"))), "groups", by="slice")
+    teams = rows.select(F.col("side_a").alias("team")).limit(0).withColumns({"elo": F.lit(START), "seen": F.lit(-1)})
+    done = []
+    for k in range(slices):
+        own = F.col("slice") == k
+        named = groups.where(own).select(F.col("team").alias("side_a"), "group")
+        start = lambda side: teams.select(F.col("team").alias(f"side_{side}"), F.col("elo").alias(f"init_{side}"))  # noqa: B023, E731
+        ready = rows.where(own).join(named, "side_a").join(start("a"), "side_a", "left").join(start("b"), "side_b", "left").fillna(START, ["init_a", "init_b"])
+        ready = ready.repartition("group").sortWithinPartitions("group", "ts_ms", "contest_id")
+        rated = ready.mapInPandas(_rate, "contest_id long, ts_ms long, side_a long, side_b long, elo_a double, elo_b double, after_a double, after_b double")
+        done.append(stored(rated.withColumn("slice", F.lit(k)), "rated"))
+        last = done[-1].select("ts_ms", "contest_id", F.explode(F.array(F.struct(F.col("side_a").alias("team"), F.col("after_a").alias("elo")), F.struct(F.col("side_b").alias("team"), F.col("after_b").alias("elo")))).alias("x"))
+        last = last.groupBy("x.team").agg(F.max_by("x.elo", F.struct("ts_ms", "contest_id")).alias("elo")).withColumn("seen", F.lit(k))
+        teams = stored(teams.unionByName(last).groupBy("team").agg(F.max_by("elo", "seen").alias("elo"), F.max("seen").alias("seen")), "teams")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _medians(rated: DataFrame) -> DataFrame:
+    """contest_id, median_elo: the median of both sides' ratings over all earlier timestamp groups."""
+    spark = rated.sparkSession
+    value = rated.select("slice", F.explode(F.array("elo_a", "elo_b")).alias("v")).groupBy("slice", "v").agg(F.count(F.lit(1)).alias("n"))
+    value = stored(value.withColumn("bin", F.floor("v")), "values")
+    count = {(r["slice"], r["bin"]): r["n"] for r in value.groupBy("slice", "bin").agg(F.sum("n").alias("n")).collect()}  # slices x points of rating
+    slices = sorted({k for k, _ in count})
+    ranges, bounds = [], {}
+    for k in slices:
+        bins: dict[int, int] = {}
+        for (s, b), n in count.items():
+            if s < k:
+                bins[b] = bins.get(b, 0) + n
+        total, own = sum(bins.values()), sum(n for (s, _), n in count.items() if s == k)
+        low, high = max(0, total // 2 - own - 1), min(total, total // 2 + own + 1)  # ranks that can become the middle
+        seen, below, near = 0, 0, []
+        for b in sorted(bins):
+            if seen + bins[b] <= low:
+                below += bins[b]
+            elif seen < high:
+                near.append(b)
+            seen += bins[b]
+        bounds[k] = (total, low, high, below)
+        if near:
+            ranges.append((k, int(near[0]), int(near[-1])))
+    near = spark.createDataFrame(ranges, "k int, low long, high long")
+    known = value.join(F.broadcast(near), (F.col("slice") < F.col("k")) & F.col("bin").between(F.col("low"), F.col("high")))  # a row per slice
+    known = known.groupBy("k", "v").agg(F.sum("n").alias("n")).select(F.col("k").alias("slice"), F.lit(-1).cast("long").alias("contest_id"), F.lit(None).cast("long").alias("ts_ms"), F.col("v").alias("elo_a"), F.lit(None).cast("double").alias("elo_b"), "n")
+    own = rated.select("slice", "contest_id", "ts_ms", "elo_a", "elo_b", F.lit(0).cast("long").alias("n"))
 
-def _pass(pool: str, median: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seen, ratings, mid, group = object(), None, {}, Median(), []
+        now, values, mid, out = None, [], None, []
+
+        def begin() -> Median:
+            """The values whose rank can become the middle, each as often as it has such a rank."""
+            total, low, high, below = bounds[now]
+            v, n = (np.array(x) for x in zip(*sorted(values), strict=True)) if values else (np.array([]), np.array([], int))
+            upto = below + np.cumsum(n)
+            times = np.clip(upto, low, high) - np.clip(upto - n, low, high)
+            return Median(np.repeat(v, times).tolist(), low, total - high)
 
-        def close() -> list[tuple]:
-            """Emit the open group from what held before it, then let its results count one after another."""
+        for k, rows in _groups(frames, "slice", ["contest_id", "elo_a", "elo_b", "n"]):
+            if k != now:
+                now, values, mid = k, [], None
+            if rows[0][3] > 0:  # the known values come first
+                values += [(v, n) for _, v, _, n in rows]
+                continue
+            mid = mid or begin()
             m = mid.value(START)
-            out = [(c, ratings.get(a, START), ratings.get(b, START), m) for c, a, b, _ in group]
-            for _, a, b, w in group:
-                ra, rb = ratings.get(a, START), ratings.get(b, START)
-                e = expected(ra, rb)
-                s = 1.0 if w == a else 0.0
-                ratings[a], ratings[b] = ra + K * (s - e), rb + K * ((1.0 - s) - (1.0 - e))
-            if median:
-                for _, ra, rb, _ in out:
-                    mid.add(ra)
-                    mid.add(rb)
-            group.clear()
-            return out
-
-        names = ["contest_id", "elo_a", "elo_b", "median_elo"]
-        for frame in frames:
-            out: list[tuple] = []
-            for p, t, c, a, b, w in frame[[pool, "ts_ms", "contest_id", "side_a", "side_b", "winner"]].itertuples(index=False):
-                if (p, t) != (now, seen):
-                    out += close()
-                    if p != now:
-                        ratings, mid = {}, Median()
-                    now, seen = p, t
-                group.append((c, a, b, w))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(close(), columns=names)
+            for c, a, b, _ in rows:
+                out.append((c, m))
+            for _, a, b, _ in rows:
+                mid.add(a)
+                mid.add(b)
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["contest_id", "median_elo"])
+                out = []
+        yield pd.DataFrame(out, columns=["contest_id", "median_elo"])
+
+    both = own.unionByName(known).withColumn("ts_ms", F.coalesce("ts_ms", F.lit(-(1 << 62))))
+    ordered = both.repartition("slice").sortWithinPartitions("slice", "ts_ms", "contest_id")
+    return ordered.mapInPandas(run, "contest_id long, median_elo double")
 
-    return run
 
+def elo(c: DataFrame, median: bool = True, slices: int = SLICES) -> DataFrame:
+    """contest_id, elo_a, elo_b (before each accepted contest's timestamp group), after_a, after_b (once it counts) and
+    median_elo: one rating per team over all history, whatever the number of slices.
 
-def elo(c: DataFrame, pool: str | None = "region", median: bool = True) -> DataFrame:
-    """contest_id, elo_a, elo_b, median_elo before each accepted contest. ``pool``: the column ratings are kept apart by;
-    None is one pool, and so one task."""
-    c = accepted(c).withColumn("_pool", F.coalesce(F.col(pool), F.lit("")) if pool else F.lit("")).select("_pool", "ts_ms", "contest_id", "side_a", "side_b", "winner")
-    c = c.repartition("_pool").sortWithinPartitions("_pool", "ts_ms", "contest_id")
-    return c.mapInPandas(_pass("_pool", median), "contest_id long, elo_a double, elo_b double, median_elo double")
+    Runs when called: each slice is a table that the next one reads."""
+    c = accepted(c)
+    if c.isEmpty():
+        return c.select("contest_id", *[F.lit(START).alias(n) for n in ("elo_a", "elo_b", "after_a", "after_b", "median_elo")])
+    rated = _ratings(c, slices)
+    out = rated.select("contest_id", "elo_a", "elo_b", "after_a", "after_b")
+    return out.join(_medians(rated), "contest_id") if median else out.withColumn("median_elo", F.lit(None).cast("double"))
 
 
-def with_elo(c: DataFrame, pool: str | None = "region") -> DataFrame:
+def with_elo(c: DataFrame, **options) -> DataFrame:
     """The accepted contests with both ratings, the win probability of A and the difference."""
     p = 1 / (1 + F.pow(F.lit(10.0), (F.col("elo_b") - F.col("elo_a")) / SCALE))
-    return accepted(c).join(elo(c, pool), "contest_id").withColumns({"elo_diff": F.col("elo_a") - F.col("elo_b"), "elo_p": p})
+    return accepted(c).join(elo(c, **options), "contest_id").withColumns({"elo_diff": F.col("elo_a") - F.col("elo_b"), "elo_p": p})
 
 
 def opponent_strength(sides: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Average rating and win rate of recent opponents, frozen when met, and wins and losses against the pool's median.
+    """Average rating and win rate of recent opponents, frozen when met, and wins and losses against the median of all ratings.
 
     sides: with win_rate (operators.features.record); ratings: elo()."""
     other = sides.select("contest_id", F.col("team").alias("opp"), F.col("win_rate").alias("opp_rate"))

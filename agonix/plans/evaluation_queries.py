@@ -135,7 +135,7 @@ def q_extremes(spark, sf_dir):
 @query("bootstrap_intervals")
 def q_boot(spark, sf_dir):
     """The form predictor and its difference from the rating."""
-    elo = R.with_elo(contests(spark, sf_dir), pool=None).select("contest_id", "elo_p")
+    elo = R.with_elo(contests(spark, sf_dir)).select("contest_id", "elo_p")
     return M.bootstrap(predictions(spark, sf_dir).join(elo, "contest_id"))
 
 

@@ -1,5 +1,6 @@
 """Ratings against a plain replay, and the traps of tie groups."""
 
+import random
 from statistics import median
 
 import pytest
@@ -11,33 +12,6 @@ from agonix.sources.contests import accepted, contests
 from pyspark.sql import functions as F
 
 
-def test_elo_equals_a_replay(spark, sf):
-    c = contests(spark, sf)
-    got = {r.contest_id: r for r in R.elo(c).collect()}
-    rows = sorted(accepted(c).select("region", "ts_ms", "contest_id", "side_a", "side_b", "winner").collect(), key=lambda r: (r.region, r.ts_ms, r.contest_id))
-    i = 0
-    pool, ratings, seen = None, {}, []
-    while i < len(rows):
-        if rows[i].region != pool:
-            pool, ratings, seen = rows[i].region, {}, []
-        j = i
-        while j < len(rows) and (rows[j].region, rows[j].ts_ms) == (pool, rows[i].ts_ms):
-            j += 1
-        mid = median(seen) if seen else 1500.0
-        new = []
-        for r in rows[i:j]:
-            a, b = ratings.get(r.side_a, 1500.0), ratings.get(r.side_b, 1500.0)
-            assert (got[r.contest_id].elo_a, got[r.contest_id].elo_b) == pytest.approx((a, b))
-            assert got[r.contest_id].median_elo == pytest.approx(mid)
-            new += [a, b]
-        for r in rows[i:j]:
-            a, b = ratings.get(r.side_a, 1500.0), ratings.get(r.side_b, 1500.0)
-            d = 24 * ((r.winner == r.side_a) - 1 / (1 + 10 ** ((b - a) / 400)))
-            ratings[r.side_a], ratings[r.side_b] = a + d, b - d
-        seen += new
-        i = j
-
-
 def replay(rows):
     """contest_id -> elo_a, elo_b, median before it, one rating per team over all rows."""
     out, ratings, seen, i = {}, {}, [], 0
@@ -56,6 +30,57 @@ def replay(rows):
     return out
 
 
+@pytest.mark.parametrize("slices", [1, 3, 20])
+def test_elo_equals_a_replay(spark, sf, slices):
+    c = contests(spark, sf)
+    want = replay(accepted(c).select("ts_ms", "contest_id", "side_a", "side_b", "winner").collect())
+    got = {r.contest_id: (r.elo_a, r.elo_b, r.median_elo) for r in R.elo(c, slices=slices).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_separate_groups_ties_and_rare_days(spark):
+    """Sides that never meet, several contests in one timestamp, days without a contest; ratings after a contest."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        a, b = rng.sample(range(10 * (i % 7), 10 * (i % 7) + 4), 2)
+        rows.append((i, 40_000_000 * rng.choice([1, 2, 3, 50, 51, 90]), a, b, rng.choice([a, b])))
+    c = spark.createDataFrame(rows, "contest_id long, ts_ms long, side_a long, side_b long, winner long")
+    got = {r.contest_id: r for r in R.elo(c, slices=4).collect()}
+    want = replay(c.collect())
+    assert got.keys() == want.keys()
+    assert all((got[k].elo_a, got[k].elo_b, got[k].median_elo) == pytest.approx(want[k]) for k in want)
+    last = {}
+    for i, t, a, b, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        last[a], last[b] = got[i].after_a, got[i].after_b
+    final = {}
+    for i, t, a, b, w in sorted(rows, key=lambda r: (r[1], r[0])):
+        x, y = final.get(a, 1500.0), final.get(b, 1500.0)
+        d = 24 * ((w == a) - 1 / (1 + 10 ** ((y - x) / 400)))
+        final[a], final[b] = x + d, y - d
+    assert last == pytest.approx(final)
+    assert R.elo(c.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 40])
+def test_median_from_the_middle_values_alone(n):
+    rng = random.Random(n)
+    known = sorted(rng.choice([1500.0, rng.uniform(1000, 2000)]) for _ in range(n))
+    new = [rng.choice([1500.0, rng.uniform(1000, 2000)]) for _ in range(12)]
+    low, high = max(0, n // 2 - 13), min(n, n // 2 + 13)
+    m = R.Median(known[low:high], low, n - high)
+    for i, x in enumerate(new):
+        seen = known + new[:i]
+        assert m.value(7.0) == pytest.approx(median(seen) if seen else 7.0)
+        m.add(x)
+
+
+def test_connected_groups(spark):
+    pairs = [(0, i, i + 1) for i in range(40) if i != 20] + [(1, 5, 3), (1, 3, 9), (1, 2, 2)]
+    got = {(r.slice, r.team): r.group for r in R.connected(spark.createDataFrame(pairs, "slice int, a long, b long")).collect()}
+    assert got == {(0, i): 0 if i <= 20 else 21 for i in range(41)} | {(1, 5): 3, (1, 3): 3, (1, 9): 3, (1, 2): 2}
+
+
 def test_the_queries_keep_one_rating_per_team(spark, sf):
     from agonix.plans.registry import QUERIES
 
