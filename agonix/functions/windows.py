@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from agonix.functions.shared import stored
+
 DAY_MS = 86_400_000
 
 
@@ -46,6 +48,22 @@ def with_ordinal(df: DataFrame, coarse: str, order: list[str], name: str = "ordi
     return df.withColumn("_in", inner).join(offsets, coarse).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
+def with_running_sum(df: DataFrame, value: str, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row, in ``order`` within ``keys``, without a window over a whole
+    key: rows are range-partitioned by (keys, order), summed inside a partition, and a partition's start is the sum of the
+    partitions before it (one row per partition and key). Rows with equal keys and order must be one row."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = stored(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").withColumnsRenamed({k: f"_{k}" for k in keys} | {"_part": "_p"})
+    on = F.col("_part") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inner = F.sum(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_in", inner).join(totals, on).withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_p", "_in", "_before", *[f"_{k}" for k in keys])
+
+
 def rate(num: Column, den: Column, empty: float) -> Column:
     """num / den, or ``empty`` where there is nothing to divide by."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(empty))

@@ -5,7 +5,7 @@ All features of a side are windows over SIDES, one row per contest and side; tho
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from agonix.functions.windows import DAY_MS, prior, rate, trailing_days, with_last_rows
@@ -107,10 +107,10 @@ def rest(s: DataFrame) -> DataFrame:
     return s.drop("_last", "_day")
 
 
-def leg_pool(s: DataFrame, known: list[str] = KNOWN_LEGS) -> DataFrame:
+def leg_pool(s: DataFrame, known: list[str] = KNOWN_LEGS, w: WindowSpec | None = None) -> DataFrame:
     """Breadth, concentration and normalised entropy of the recognised legs played before. The known legs are a fixed
-    list, so each is one windowed sum and no row is multiplied."""
-    w = prior(*KEYS)
+    list, so each is one windowed sum and no row is multiplied. ``w``: other rows than all earlier ones."""
+    w = w or prior(*KEYS)
     of = lambda name: F.size(F.filter("legs", lambda x: x["recognized"] & (x["name"] == name)))
     s = s.withColumn("_m", F.array(*[_sum(of(n), w) for n in known]))
     s = s.withColumns({"unknown_leg_count": _sum("unknown_legs", w), "_p": F.filter("_m", lambda x: x > 0)})
@@ -125,9 +125,9 @@ def leg_pool(s: DataFrame, known: list[str] = KNOWN_LEGS) -> DataFrame:
     }).drop("_m", "_p", "_t")
 
 
-def rounds(s: DataFrame) -> DataFrame:
-    """Rounds per leg and attack and defence rates over all earlier legs."""
-    w = prior(*KEYS)
+def rounds(s: DataFrame, w: WindowSpec | None = None) -> DataFrame:
+    """Rounds per leg and attack and defence rates over all earlier legs (those of ``w``)."""
+    w = w or prior(*KEYS)
     legs = _sum("legs_played", w)
     return s.withColumns({
         "avg_rounds_won": rate(_sum("rounds_won", w), legs, 0.0),

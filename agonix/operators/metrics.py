@@ -1,13 +1,19 @@
 """Evaluation of win probabilities. Input: predictions with ``p`` (of side A) and ``y`` (0/1); ``by`` groups them.
 
-Everything but AUC and the bootstrap is one aggregation; AUC counts by distinct score first, so its window runs over
-scores and not over rows."""
+Everything but AUC and the bootstrap is one aggregation; AUC counts by distinct score first and takes prefix sums over
+range partitions of the scores; the bootstrap leaves a task as one row per resample."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agonix.functions.windows import with_running_sum
+
 EPS = 1e-15
 
 
@@ -19,30 +25,40 @@ def _or0(num, den):
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def probability_metrics(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, log loss, Brier score (0 when empty)."""
+def _probability() -> list:
     loss = -(F.col("y") * F.ln(_clip()) + (1 - F.col("y")) * F.ln(1 - _clip()))
-    return pred.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("log_loss"), F.coalesce(F.avg(F.pow(F.col("p") - F.col("y"), 2)), F.lit(0.0)).alias("brier"))
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("log_loss"), F.coalesce(F.avg(F.pow(F.col("p") - F.col("y"), 2)), F.lit(0.0)).alias("brier")]
 
 
-def classification_metrics(pred: DataFrame, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Confusion counts and what follows from them; the threshold is inclusive, empty denominators give 0."""
+def _confusion(threshold: float) -> list:
     hit, pos = F.col("p") >= threshold, F.col("y") == 1
-    m = pred.groupBy(*(by or [])).agg(
+    return [
         F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"),
         F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("positive_rate"), F.avg(F.abs(F.col("p") - 0.5)).alias("sharpness"),
-    )
+    ]
+
+
+def _rates(m: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     m = m.withColumns({"accuracy": _or0(tp + tn, tp + fp + fn + tn), "precision": _or0(tp, tp + fp), "recall": _or0(tp, tp + fn), "specificity": _or0(tn, tn + fp)})
     return m.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "f1": _or0(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))})
 
 
+def probability_metrics(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n, log loss, Brier score (0 when empty)."""
+    return pred.groupBy(*(by or [])).agg(*_probability())
+
+
+def classification_metrics(pred: DataFrame, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Confusion counts and what follows from them; the threshold is inclusive, empty denominators give 0."""
+    return _rates(pred.groupBy(*(by or [])).agg(*_confusion(threshold)))
+
+
 def roc_auc(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney area with average ranks; null if one class is missing."""
     by = by or []
     score = pred.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    score = score.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / F.lit(2.0))
+    score = with_running_sum(score, "n", by, ["p"], "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / F.lit(2.0))
     t = score.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
     auc = F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / F.lit(2.0), (F.col("np") * F.col("nn")).cast("double"))
     return t.select(*by, auc.alias("auc"))
@@ -69,14 +85,12 @@ def calibration(pred: DataFrame, bins: int = 10) -> DataFrame:
 
 def metric_bundle(pred: DataFrame, by: list[str]) -> DataFrame:
     """All metrics by group; groups are joined null-safe."""
-    out = probability_metrics(pred, by)
-    for part in (classification_metrics(pred, by), roc_auc(pred, by)):
-        part = part.withColumnsRenamed({b: f"_{b}" for b in by})
-        on = F.lit(True)
-        for b in by:
-            on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
-        out = out.join(part, on).drop(*[f"_{b}" for b in by])
-    return out
+    out = _rates(pred.groupBy(*by).agg(*_probability(), *_confusion(0.5)))
+    auc = roc_auc(pred, by).withColumnsRenamed({b: f"_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return out.join(auc, on).drop(*[f"_{b}" for b in by])
 
 
 def error_segments(pred: DataFrame, tags: dict[str, object]) -> DataFrame:
@@ -102,24 +116,32 @@ def bootstrap(pred: DataFrame, iterations: int = 2000, seed: int = 1) -> DataFra
     """Nearest-rank 2.5 % and 97.5 % bounds of log loss, Brier and accuracy over resamples with replacement, and, if
     ``pred`` has elo_p, of log loss and Brier minus the rating's on the same resample.
 
-    At every size each row gets a Poisson(1) weight per iteration by a hash of (seed, row, iteration), in one pass without a
-    join; the sums are divided by the resample's own total. A resample without rows counts for nothing."""
+    At every size each row gets a Poisson(1) weight per iteration from a generator of its own, keyed by the seed and the
+    row. A task multiplies weights by values block by block and keeps one sum per iteration and metric, so what leaves it
+    is ``iterations`` rows whatever it has read. The sums are divided by the resample's own total; a resample without rows
+    counts for nothing. Rows that share a contest_id share their weights."""
     p, y = F.col("p"), F.col("y")
     loss = lambda p: -(y * F.ln(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))) + (1 - y) * F.ln(1 - F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))))
     values = {"log_loss": loss(p), "brier": F.pow(p - y, 2), "accuracy": ((p >= 0.5) == (y == 1)).cast("double")}
     if "elo_p" in pred.columns:
         e = F.col("elo_p")
         values |= {"log_loss_minus_elo": loss(p) - loss(e), "brier_minus_elo": F.pow(p - y, 2) - F.pow(e - y, 2)}
-    rows = pred.select("contest_id", *[v.alias(k) for k, v in values.items()]).repartition(pred.sparkSession.sparkContext.defaultParallelism)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "contest_id", "it"), F.lit(1 << 53)) + 0.5) / F.lit(float(1 << 53))
-    steps, term, total = [], 0.36787944117144233, 0.0
-    for k in range(18):  # the next one is beyond the 53 bits of u
-        total += term
-        steps.append(total)
-        term /= k + 1
-    drawn = rows.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_u", u)
-    drawn = drawn.withColumn("w", sum(((F.col("_u") > s).cast("int") for s in steps[1:]), (F.col("_u") > steps[0]).cast("int"))).where("w > 0")
-    each = drawn.groupBy("it").agg(*[(F.sum(F.col("w") * F.col(m)) / F.sum("w")).alias(m) for m in values])
+    names = [*values]
+    rows = pred.select(F.coalesce(F.col("contest_id").cast("long"), F.lit(-1).cast("long")).alias("id"), *[v.cast("double").alias(k) for k, v in values.items()]).repartition(pred.sparkSession.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((iterations, 1 + len(names)))
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            v = np.column_stack([np.ones(len(key)), *(batch.column(1 + i).to_numpy() for i in range(len(names)))])
+            for at in range(0, len(key), 256):
+                w = np.stack([np.random.Generator(np.random.Philox(key=[k, seed])).poisson(1.0, iterations) for k in key[at : at + 256]])
+                sums += w.T.astype(float) @ v[at : at + 256]
+        if sums[:, 0].any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations)), *(pa.array(x.copy()) for x in sums.T)], names=["it", "w", *names])
+
+    parts = rows.mapInArrow(run, "it long, w double, " + ", ".join(f"{n} double" for n in names))
+    each = parts.groupBy("it").agg(F.sum("w").alias("w"), *[F.sum(m).alias(m) for m in names]).where("w > 0").select("it", *[(F.col(m) / F.col("w")).alias(m) for m in names])
     at = lambda m, q: F.try_element_at(F.array_sort(F.collect_list(m)), (F.greatest(F.round(q * (F.count(m) - 1)), F.lit(0)) + 1).cast("int"))
     bounds = [F.struct(F.lit(m).alias("metric"), at(m, 0.025).alias("low"), at(m, 0.975).alias("high")) for m in values]
     out = each.agg(F.count(F.lit(1)).alias("n"), F.array(*bounds).alias("m")).where("n > 0")  # `iterations` values

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import ORACLES, QUERIES
 
-for _part in ("feature_queries", "rating_queries", "evaluation_queries", "profile_queries", "quality_queries", "identity_queries", "lifecycle_queries", "model_queries"):
+for _part in ("feature_queries", "rating_queries", "asof_queries", "evaluation_queries", "profile_queries", "quality_queries", "identity_queries", "lifecycle_queries", "model_queries"):
     importlib.import_module(f"{__package__}.{_part}")
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -129,3 +129,55 @@ def test_the_whole_feature_table(spark, sf):
                     assert got == v or got == pytest.approx(v, abs=1e-5), (q, n)
     for r in QUERIES["leg_pool_overlap"](spark, sf).collect():
         assert f[r.contest_id].pool_overlap == r.pool_overlap
+
+
+def state_at(rows, want, moment):
+    """Ratings after all contests up to the moment, and per team the list of (opponent's rating, above the median, won)."""
+    final, met = {}, {}
+    for r in sorted((r for r in rows if r.ts_ms <= moment), key=lambda r: (r.ts_ms, r.contest_id)):
+        a, b, mid = want[r.contest_id]
+        x, y = final.get(r.side_a, 1500.0), final.get(r.side_b, 1500.0)
+        d = 24 * ((r.winner == r.side_a) - 1 / (1 + 10 ** ((y - x) / 400)))
+        final[r.side_a], final[r.side_b] = x + d, y - d
+        met.setdefault(r.side_a, []).append((b, b > mid, r.winner == r.side_a))
+        met.setdefault(r.side_b, []).append((a, a > mid, r.winner == r.side_b))
+    return final, met
+
+
+def test_matchups_as_of_a_moment(spark, sf):
+    """The rating's columns against a replay: ties at the moment count, unseen sides are at the start."""
+    from agonix.plans.registry import QUERIES
+
+    rows = accepted(contests(spark, sf)).select("ts_ms", "contest_id", "side_a", "side_b", "winner").collect()
+    want = replay(rows)
+    got = {r.request_id: r for r in QUERIES["matchup_asof_rating"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for r in random.Random(5).sample(rows, 150):
+        final, met = state_at(rows, want, r.ts_ms + (864_000_000 if r.contest_id % 3 == 0 else 0))
+        b = -r.side_b if r.contest_id % 10 == 0 else r.side_b
+        for p, team in zip("ab", (b, r.side_a) if r.contest_id % 2 else (r.side_a, b), strict=True):
+            opp = met.get(team, [])
+            mean = lambda v: sum(v) / len(v) if v else 1500.0
+            assert got[r.contest_id][f"{p}_elo"] == pytest.approx(final.get(team, 1500.0), abs=1e-5)
+            assert got[r.contest_id][f"{p}_avg_opp_elo_last5"] == pytest.approx(mean([x for x, _, _ in opp][-5:]), abs=1e-5)
+            assert got[r.contest_id][f"{p}_schedule_strength"] == pytest.approx(mean([x for x, _, _ in opp]), abs=1e-5)
+            assert got[r.contest_id][f"{p}_wins_above_median"] == sum(up and won for _, up, won in opp)
+            assert got[r.contest_id][f"{p}_losses_below_median"] == sum(not up and not won for _, up, won in opp)
+
+
+def test_a_request_reads_and_never_counts(spark, sf):
+    """Asked twice, alone and among others, a request has the same answer; without history both sides are at the start."""
+    from agonix.operators.asof import matchup_asof
+
+    c = accepted(contests(spark, sf)).cache()
+    a, b, t = (c.agg(F.max(x)).first()[0] for x in ("side_a", "side_b", "ts_ms"))
+    ask = lambda i, x, y, t: (i, t, x, y, "league", "ASIA", "MACHINERY", "Best of 3")
+    rows = [ask(1, a, b, t), ask(2, a, b, t), ask(3, b, a, t - 1), ask(4, -1, -2, t), ask(5, a, -1, 0)]
+    schema = "request_id long, as_of_ms long, side_a long, side_b long, level string, region string, family string, series_format string"
+    ratings = R.elo(c)
+    many = {r.request_id: r.asDict() for r in matchup_asof(c, spark.createDataFrame(rows, schema), ratings).collect()}
+    one = matchup_asof(c, spark.createDataFrame(rows[:1], schema), ratings).first().asDict()
+    assert many[1] == one and many[2] == one | {"request_id": 2} and one["series_format"] == "bo3"
+    assert many[4]["a_is_cold_start"] and many[4]["a_elo"] == many[4]["b_elo"] == 1500 and many[4]["elo_p"] == 0.5 and many[4]["h2h_last_winner"] == "unknown"
+    assert many[5]["a_prior_contests"] == 0 and many[5]["a_days_since_last"] is None
+    assert many[4]["a_last5_win_rate"] == 0.5 and many[1]["a_prior_contests"] > 0 and many[1]["a_roster_size"] == 0
