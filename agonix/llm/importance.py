@@ -137,7 +137,7 @@ def draw(weighted: DataFrame, num: int = 5, den: int = 100, least_words: int = 2
     spark = weighted.sparkSession
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
-    scored = stored(weighted.withColumn("score", F.col("weight") + noise).withColumn("out", F.col("n_words") < least_words), "scored", narrow=True)
+    scored = stored(weighted.withColumn("score", F.col("weight") + noise).withColumn("out", F.col("n_words") < least_words), "scored")
     order = [F.col("out"), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     ranged = scored.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     numbered = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "numbered")  # partition << 33 | place in it
