@@ -8,6 +8,9 @@ from the root and give every element's exact content marginal; text whose elemen
 Both potentials are trained, piecewise, from labelled pages: a bounded sample of the given pages (``sample``, by hash of
 their id) whose semantic elements label them, and a few dozen labelled pages of other layouts written here.
 
+Names count as boilerplate's only as a whole ("ad-banner", not "author-bio" or "search-methods"); ids of headings and
+paragraphs, and of anything but sections and divs within an article, name passages and count for nothing.
+
 A block is what block elements separate; white space inside it, line breaks included, becomes one space. Blocks are
 joined in page order by one line feed.
 
@@ -21,8 +24,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +50,33 @@ _STOP = re.compile(r"[.!?;:,]")
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("ul ol dl table body html article section div main td th blockquote aside footer header nav form".split())
 KINDS = ("off", "on", "head", "para", "item", "cell", "inline", "box")
-_CUES = {"": (0, 0)}
-
-
-def _cue(words: str) -> tuple[int, int]:
-    """Whether class, id and role name boilerplate or content."""
-    if words not in _CUES:
+#: Words that may stand beside boilerplate's in its name and leave it what it is.
+_PLAIN = frozenset("area bar block body box button buttons by column col container group holder inner item items left link links list outer panel panels post posts primary reader right secondary section site skyscraper slot top unit user wrap wrapper main page global header label links".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption a b i em strong span".split())
+_SPECIAL = re.compile(r">|=\s*[\"']")
+_OPENING = re.compile(r"<!--|<[!?]|</|<(?=[A-Za-z])")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_COMMENT_END = re.compile(r"--!?>|(?<=<!)-->|(?<=<!)--->")
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+#: Elements whose text holds no markup.
+_RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
+_CUES: dict[str, tuple[int, int]] = {}
+
+
+def _name_cue(name: str) -> tuple[int, int]:
+    """Of one name: whether it is boilerplate's, wholly made of its words and of plain ones, and whether it has a content word."""
+    if name not in _CUES:
         if len(_CUES) > 50_000:
             _CUES.clear()
-        own = {w.lower() for w in _TOKEN.findall(words)}
-        _CUES[words] = (int(bool(own & _BAD)), int(bool(own & _GOOD)))
-    return _CUES[words]
+        own = {w.lower() for w in _TOKEN.findall(name)}
+        _CUES[name] = (int(bool(own & _BAD) and own <= _BAD | _PLAIN), int(bool(own & _GOOD)))
+    return _CUES[name]
+
+
+def _cue(attributes: dict[str, str]) -> tuple[int, int]:
+    """Whether class, id and role name boilerplate or content: each name of a class list counts by itself."""
+    cues = [_name_cue(name) for k, v in attributes.items() for name in ([v] if k == "aria-label" else v.split())]
+    return max((b for b, _ in cues), default=0), max((g for _, g in cues), default=0)
 
 
 def _kind(tag: str) -> int:
@@ -75,67 +95,174 @@ def _kind(tag: str) -> int:
     return 7 if tag in BLOCKS else 6
 
 
-class Tree(HTMLParser):
+class Tags:
+    """The markup of a page in one pass, in time linear in its length whatever it holds.
+
+    A tag ends at the first > outside its quoted attribute values; where those never end, at the first > of all. Without
+    any > left, a < is text. A quoted value that led to the end of the page once isn't tried again: what a quote opens
+    doesn't depend on where the tag began."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.dead: set[int] = set()
+        self.next = (0, -1, -1)  # from where, the next > or quoted value, its quote
+
+    def _special(self, at: int) -> tuple[int, int]:
+        """Where the next > or quoted value from ``at`` on is, and its quote (-1 for >)."""
+        since, where, quote = self.next
+        if not since <= at <= where:
+            m = _SPECIAL.search(self.html, at)
+            where, quote = (m.start(), m.end() - 1 if m[0] != ">" else -1) if m else (len(self.html), -1)
+            self.next = (at, where, quote)
+        return where, quote
+
+    def end(self, at: int) -> int:
+        """Where the tag that begins at ``at`` ends, -1 if nowhere."""
+        if at > self.last:
+            return -1
+        html, tried, p = self.html, [], at
+        while p <= self.last:
+            where, quote = self._special(p)
+            if quote < 0:
+                if where <= self.last:
+                    return where
+                break
+            if quote in self.dead:
+                break
+            tried.append(quote)
+            close = html.find(html[quote], quote + 1)
+            if close < 0:
+                break
+            p = close + 1
+        self.dead.update(tried)
+        return html.find(">", at)
+
+    def events(self) -> Iterator[tuple[str, str, str]]:
+        """("start", tag, attributes), ("end", tag, "") and ("text", "", text) in order."""
+        html, n, at, text = self.html, len(self.html), 0, []
+        ended: set[str] = set()  # raw elements that nothing closes any more
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0 or lt > self.last and not html.startswith("<!--", lt):
+                text.append(html[at:])
+                break
+            if lt > at:
+                text.append(html[at:lt])
+            m = _OPENING.match(html, lt)
+            if not m:
+                text.append("<")
+                at = lt + 1
+                continue
+            if text and m[0] != "</":
+                yield "text", "", unescape("".join(text))
+                text.clear()
+            if m[0] == "<!--":
+                close = _COMMENT_END.search(html, lt + 2)
+                at = close.end() if close else n
+            elif m[0] in ("<!", "<?", "</"):
+                name = _NAME.match(html, lt + 2) if m[0] == "</" else None
+                at = (self.end(lt) if name else html.find(">", lt)) + 1
+                if name:
+                    if text:
+                        yield "text", "", unescape("".join(text))
+                        text.clear()
+                    yield "end", name[0].lower(), ""
+            else:
+                tag, stop = _NAME.match(html, lt + 1)[0].lower(), self.end(lt)
+                yield "start", tag, html[lt + 1 + len(tag) : stop]
+                at = stop + 1
+                if tag in _RAW:
+                    close = None if tag in ended else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                    if tag not in ended and not close:
+                        ended.add(tag)
+                    stop = close.start() if close else n
+                    if stop > at:
+                        yield "text", "", unescape(html[at:stop]) if tag in ("title", "textarea") else html[at:stop]
+                    at = stop
+        if text:
+            yield "text", "", unescape("".join(text))
+
+
+class Tree:
     """The elements of a page in order, and its text segments (element, block, text)."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-
     def read(self, html: str) -> "Tree":
-        self.reset()
         self.parent, self.kind, self.bad, self.good, self.link, self.label = [-1], [7], [0], [0], [0], [None]
+        self.inside, self.under = [0], [0]  # whether an element is in one that is, or names itself, an article; boilerplate
         self.open, self.tags = [0], [""]
-        self.block, self.silent = 0, 0
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of each open tag, and of open scopes and silent elements
+        self.block = 0
         self.segments: list[tuple[int, int, str]] = []
-        self.feed(html)
-        self.close()
+        for what, tag, rest in Tags(html).events():
+            if what == "text":
+                if not self.silent:
+                    self.segments.append((self.open[-1], self.block, rest))
+            elif what == "start":
+                self._start(tag, rest)
+            else:
+                self._end(tag)
         return self
 
-    def handle_starttag(self, tag, attrs):
+    @property
+    def silent(self) -> int:
+        """How many open elements never show their text."""
+        return len(self.at["silent"])
+
+    def _place(self, tag: str) -> int:
+        """Where the innermost open element of this tag is, 0 if there is none."""
+        return self.at[tag][-1] if self.at[tag] else 0
+
+    def _close(self, place: int) -> None:
+        """Close the elements from ``place`` on; each is closed once."""
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.open.pop()
+            for kind in (tag, "scope" if tag in _SCOPE else None, "silent" if tag in SILENT else None):
+                if kind:
+                    self.at[kind].pop()
+
+    def _start(self, tag: str, rest: str) -> None:
         if tag in BLOCKS:
             self.block += 1
-            ends = _CLOSES.get(tag, frozenset(["p"]))
-            for i in range(len(self.tags) - 1, 0, -1):
-                if self.tags[i] in ends:
-                    del self.tags[i:], self.open[i:]
-                    break
-                if self.tags[i] in _SCOPE or self.tags[i] in SILENT:  # what is in a silent element closes nothing around it
-                    break
+            place = max(self._place(t) for t in _CLOSES.get(tag, ("p",)))
+            if place and place >= max(self._place("scope"), self._place("silent")):  # what is in a silent element closes nothing around it
+                self._close(place)
         if tag in VOID:
             if tag == "br":
                 self.segments.append((self.open[-1], self.block, " "))
             return
-        words, label = "", None
-        for k, v in attrs:
-            if v and k in ("class", "id", "role", "aria-label"):
-                words += " " + v
+        own, label = {}, None
+        for m in _ATTRIBUTE.finditer(rest):
+            k, v = m[1].lower(), (m[2] or "").strip("\"'")
+            if v and k in ("class", "id", "role", "aria-label") and k not in own:
+                own[k] = unescape(v)
             elif k == "data-label":
                 label = v == "1"
-        bad, good = _cue(words)
-        self.parent.append(self.open[-1])
+        up = self.open[-1]
+        if tag in _PROSE or self.inside[up] and tag not in ("div", "section"):
+            own.pop("id", None)  # there an id is the address of a passage
+        bad, good = _cue(own)
+        self.parent.append(up)
         self.kind.append(_kind(tag))
-        self.bad.append(bad or int(tag == "header" and self.kind[self.open[-1]] != 1))
+        self.bad.append(bad or int(tag == "header" and self.kind[up] != 1))
         self.good.append(good)
-        self.link.append(int(tag == "a" or self.link[self.open[-1]]))
+        self.link.append(int(tag == "a" or self.link[up]))
         self.label.append(label)
+        bad = self.bad[-1]
+        self.under.append(int(tag not in _ON and bool(bad or self.kind[-1] == 0 or self.under[up])))
+        self.inside.append(int(tag in _ON or not self.under[-1] and (good or self.inside[up])))
         self.open.append(len(self.parent) - 1)
+        for kind in (tag, "scope" if tag in _SCOPE else None, "silent" if tag in SILENT else None):
+            if kind:
+                self.at[kind].append(len(self.tags))
         self.tags.append(tag)
-        self.silent += tag in SILENT
 
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block += 1
-        for i in range(len(self.tags) - 1, 0, -1):
-            if self.tags[i] == tag:
-                self.silent -= sum(t in SILENT for t in self.tags[i:])
-                del self.tags[i:], self.open[i:]
-                break
-            if self.tags[i] in _SCOPE and tag not in BLOCKS:
-                break
-
-    def handle_data(self, data):
-        if not self.silent:
-            self.segments.append((self.open[-1], self.block, data))
+        place = self._place(tag)
+        if place and (tag in BLOCKS or place >= self._place("scope")):
+            self._close(place)
 
     def features(self) -> np.ndarray:
         """One row per element."""
@@ -155,7 +282,7 @@ class Tree(HTMLParser):
                 stops[p] += stops[i]
                 own[p] += own[i]
                 whole[p] += whole[i]
-        x = np.zeros((n, len(KINDS) + 8))
+        x = np.zeros((n, len(KINDS) + 11))
         x[np.arange(n), self.kind] = 1
         own = np.array(own, dtype=float)
         k = len(KINDS)
@@ -166,6 +293,9 @@ class Tree(HTMLParser):
         x[:, k + 5] = np.minimum(whole, 1)
         x[:, k + 6] = (own > 0) & (own < 25)
         x[:, k + 7] = x[:, k] * x[:, k + 1]
+        x[:, k + 8] = self.inside
+        x[:, k + 9] = x[:, k + 8] * x[:, k + 3]
+        x[:, k + 10] = self.under
         return x
 
     def groups(self) -> list[int]:
@@ -290,7 +420,7 @@ def layouts(many: int = 120, seed: int = 3) -> list[str]:
         tag = r.choice(["div", "section", "div"]) if not semantic and tag != "form" else tag
         return f'<{tag}{attr} data-label="0">{inside[name]()}</{tag}>'
 
-    def block() -> str:
+    def block(named: bool) -> str:
         kind = r.random()
         if kind < 0.68:
             return f"<p>{prose().replace(' ', ' <b>', 1) + '</b>' if r.random() < 0.15 else prose()}</p>"
@@ -298,7 +428,9 @@ def layouts(many: int = 120, seed: int = 3) -> list[str]:
             return f"<h2>{say(2, 6)}</h2>"
         if kind < 0.88:
             return "<ul>" + "".join(f"<li>{say(4, 14)}.</li>" for _ in range(r.randint(2, 5))) + "</ul>"
-        if kind < 0.94:
+        if kind < 0.92 and named:  # references: in an article a list of links that nothing names a menu is content
+            return r.choice([links(), f'<ol><li><a href="/{word()}">{say(1, 4)}</a></li><li><a href="/{word()}">{say(1, 4)}</a></li></ol>', f'<p><a href="/{word()}">{say(1, 5)}</a></p>'])
+        if kind < 0.95:
             return f"<blockquote><p>{prose()}</p></blockquote>"
         return f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>"
 
@@ -309,11 +441,11 @@ def layouts(many: int = 120, seed: int = 3) -> list[str]:
         before = [n for n in names if n in ("nav", "header", "notice", "ad")]
         inner = [n for n in names if n in ("ad", "share", "aside") and r.random() < 0.3]
         after = [n for n in names if n not in before]
-        body = [block() for _ in range(r.randint(1, 9))]
+        tag, attr = r.choice([("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="post-body"'), ("div", ' class="entry"'), ("section", ""), ("div", ""), ("td", "")])
+        body = [block(bool(attr) or tag in _ON) for _ in range(r.randint(1, 9))]
         body.insert(0, f"<h1>{say(3, 9)}</h1>")
         for n in inner:
             body.insert(r.randint(1, len(body)), part(n, semantic))
-        tag, attr = r.choice([("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="post-body"'), ("div", ' class="entry"'), ("section", ""), ("div", ""), ("td", "")])
         core = f'<{tag}{attr} data-label="1">{"".join(body)}</{tag}>'
         core = f"<table><tr>{core}</tr></table>" if tag == "td" else core
         if r.random() < 0.4:
