@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import with_column
-from .common import small_batches, tokenizer_path
+from .common import small_batches, tokenizer_path, unused
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -95,20 +95,23 @@ class Scanner:
         out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        base = list(out)
+        base, at, reach = sorted(out), 0, -1
         for m in RUN.finditer(text):
-            a, b = m.span()
-            for i, j in self.parts(m[0]):
-                if not any(x < a + j and a + i < y for x, _, y in base):
+            a = m.start()
+            for i, j in self.parts(m[0]):  # in order of start: base spans before a part are passed once
+                while at < len(base) and base[at][0] < a + j:
+                    reach = max(reach, base[at][2])
+                    at += 1
+                if reach <= a + i:
                     out.append((a + i, 3, a + j))
         return sorted(out)
 
 
-def scan(docs: DataFrame, column: str = "text", path: str | None = None, ratio: float = 2.2, least: int = 16) -> DataFrame:
-    """The documents with ``spans``: kind, start and end of every secret in the whole text."""
+def scan(docs: DataFrame, column: str = "text", path: str | None = None, ratio: float = 2.2, least: int = 16, spans: str = "spans") -> DataFrame:
+    """The documents with ``spans`` (or the name given): kind, start and end of every secret in the whole text."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
     small_batches(docs.sparkSession)
-    docs = docs.drop("spans")
+    docs = docs.drop(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner.of(path, ratio, least)
@@ -116,9 +119,9 @@ def scan(docs: DataFrame, column: str = "text", path: str | None = None, ratio:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(column)).to_pylist()
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scanner.spans(x)] if x else [] for x in texts]
-            yield with_column(batch, "spans", pa.array(found, kind))
+            yield with_column(batch, spans, pa.array(found, kind))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("spans", SPAN)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(spans, SPAN)]))
 
 
 def listed(spans: str, base_only: bool = False):
@@ -132,8 +135,10 @@ def count_of(spans: str, kind: str):
 
 
 def redact(docs: DataFrame, column: str = "text", mark: str = "[secret]", **options) -> DataFrame:
-    """The documents with every span of their text replaced by ``mark`` (overlapping spans by one); null stays null."""
-    scanned = scan(docs, column, **options)
+    """The documents with every span of their text replaced by ``mark`` (overlapping spans by one); null stays null. All
+    columns are kept, one called ``spans`` too."""
+    columns, spans = docs.columns, unused("spans", docs.columns)
+    scanned = scan(docs, column, spans=spans, **options)
 
     def clean(text: str, spans) -> str:
         out, at = [], 0
@@ -147,7 +152,7 @@ def redact(docs: DataFrame, column: str = "text", mark: str = "[secret]", **opti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.names.index(column)
-            texts = [clean(x, s) if x and s else x for x, s in zip(batch.column(i).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            texts = [clean(x, s) if x and s else x for x, s in zip(batch.column(i).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == i else batch.column(j) for j in range(batch.num_columns - 1)], names=batch.schema.names[:-1])
 
     return scanned.mapInArrow(run, docs.schema)
