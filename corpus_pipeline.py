@@ -36,7 +36,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 code points and more that at least 5 documents hold stay in the largest doc_id only."""
-    return _with_text(dedup_lines(docs), F.col("kept"), docs.columns)
+    own = {c: c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)}  # no name that the operator adds
+    lines = dedup_lines(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
+    back = lines.select(*[F.col(f"`{name}`").alias(c) for c, name in own.items()], F.col("kept").alias(unused("lines", docs.columns)))
+    return _with_text(back, F.col(unused("lines", docs.columns)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
