@@ -33,17 +33,25 @@ def merge_ledger(previous: DataFrame, current: DataFrame, keys: list[str]) -> Da
     )
 
 
-def dataset_version(df: DataFrame, constants: list[str], omit: list[str] | None = None) -> DataFrame:
+def row_text(df: DataFrame, omit: list[str] | None = None):
+    """name=value of every column in order of name, nulls as \\N, with U+001F between them."""
+    cols = sorted(c for c in df.columns if c not in set(omit or []))
+    return F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in cols])
+
+
+def dataset_version(df: DataFrame, constants: list[str], omit: list[str] | None = None, levels: tuple[int, ...] = (6, 3)) -> DataFrame:
     """One row: rows and a 16-digit version that depends on the rows' content and not on their order.
 
-    Two levels: row hashes are combined within 4096 buckets by their own prefix, then the buckets' hashes."""
-    h = df.select(content_hash(df, omit).alias("h")).withColumn("b", F.substring("h", 1, 3))
-    # Bit-wise sums of disjoint pieces are order-free and have bounded state, unlike a sorted list of all hashes.
-    piece = lambda k: F.conv(F.substring("h", 4 + 12 * k, 12), 16, 10).cast("decimal(38,0)")
-    b = h.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *[F.sum(piece(k)).alias(f"s{k}") for k in range(4)])
-    line = F.concat_ws(":", "b", "n", *[f"s{k}" for k in range(4)])
-    out = b.agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "|").alias("all"))  # at most 4096 buckets
-    return out.select(F.coalesce("n", F.lit(0)).alias("n"), F.substring(F.sha2(F.concat_ws("|", *[F.lit(c) for c in constants], "all"), 256), 1, 16).alias("version"))
+    A hash tree: equal rows are one leaf, their SHA-256 with their number; a node is the SHA-256 of its sorted children, which
+    share its hash prefix of 6 and then 3 digits; the root, of at most 4096 nodes, is hashed with the constants. No group
+    ever holds more than the leaves of one 6-digit prefix or 4096 nodes."""
+    h = df.select(F.sha2(row_text(df, omit), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    node = h.select(F.col("h").alias("prefix"), F.concat_ws(":", "h", "n").alias("line"), "n")
+    for digits in levels:
+        node = node.groupBy(F.substring("prefix", 1, digits).alias("prefix")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ","), 256).alias("digest"))
+        node = node.select("prefix", F.concat_ws(":", "prefix", "digest").alias("line"), "n")
+    root = node.agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("line")), ",").alias("all"))
+    return root.select(F.coalesce("n", F.lit(0)).alias("n"), F.substring(F.sha2(F.concat_ws("|", *[F.lit(c) for c in constants], "all"), 256), 1, 16).alias("version"))
 
 
 def reconcile(store: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

@@ -121,7 +121,14 @@ def q_ledger(spark, sf_dir):
     return L.merge_ledger(of(e.where("event_id % 2 = 0")), of(e.where("event_id % 2 = 1 and user_id % 3 <> 0")), ["user_id", "event_type"])
 
 
-@query("dataset_version")
+_VERSIONED = ["contest_id", "event_id", "event_name", "family", "level", "region", "score_a", "score_b", "series_format", "side_a", "side_b", "stage", "ts", "winner"]
+
+
+@query("dataset_version", SQL + f""", h AS (SELECT sha256(concat_ws(chr(31), {", ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '{chr(92)}N')" for c in _VERSIONED)})) AS h FROM c),
+l AS (SELECT h, h || ':' || count(*) AS line, count(*) AS n FROM h GROUP BY h),
+a AS (SELECT left(h, 6) AS p, sum(n) AS n, sha256(string_agg(line, ',' ORDER BY line)) AS g FROM l GROUP BY 1),
+b AS (SELECT left(p, 3) AS p, sum(n) AS n, sha256(string_agg(p || ':' || g, ',' ORDER BY p || ':' || g)) AS g FROM a GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, left(sha256('schema-1|rules-1|' || string_agg(p || ':' || g, ',' ORDER BY p || ':' || g)), 16) AS version FROM b""")
 def q_version(spark, sf_dir):
     return L.dataset_version(contests(spark, sf_dir).drop("legs", "roster_a", "roster_b"), ["schema-1", "rules-1"], ["ts_ms"])
 

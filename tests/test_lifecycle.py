@@ -1,12 +1,14 @@
 """Upserts as a stream, versions, ledgers, exports, and contracts."""
 
+import random
+
 import pytest
 
 from agonix.operators import lifecycle as L
 from agonix.operators import metrics as M
 from agonix.operators import ml as ML
 from agonix.operators import quality as Q
-from agonix.streaming.upserts import latest, stream_upserts
+from agonix.streaming.upserts import FANOUT, _runs, latest, stream_upserts, upsert_batch
 from pyspark.sql import functions as F
 
 
@@ -23,6 +25,36 @@ def test_stream_upserts_and_reruns(spark, tmp_path):
     assert n == 4 == spark.read.parquet(out).count()
 
 
+def test_many_batches_equal_a_replay(spark, tmp_path):
+    """Repeated keys in a batch, levels merged several times, a batch run again."""
+    rng, out, held = random.Random(4), str(tmp_path / "t"), {}
+    schema = "k long, g string, v string, at int"
+    for n in range(18):
+        rows = [(rng.randrange(60), rng.choice("ab"), rng.choice("xyz"), n) for _ in range(25)]
+        batch = spark.createDataFrame(rows, schema)
+        upsert_batch(batch, n, ["k", "g"], out, volatile=["at"], order=["v"])
+        if n in (3, 7, 15):  # as after a failure
+            upsert_batch(batch, n, ["k", "g"], out, volatile=["at"], order=["v"])
+        for k, g in {r[:2] for r in rows}:
+            v = max(r[2] for r in rows if r[:2] == (k, g))
+            if held.get((k, g), (None,))[0] != v:
+                held[k, g] = (v, n)
+    assert {(r.k, r.g): (r.v, r.at) for r in latest(spark, out, ["k", "g"]).collect()} == held
+    runs = _runs(spark, out)
+    assert [r[0] for r in runs] == [2, 0, 0] and len(runs) <= 3 * FANOUT
+
+
+def test_of_repeated_keys_the_same_row_stays(spark, tmp_path):
+    rows = [(1, v) for v in "cab"]
+    kept = set()
+    for i, order in enumerate((rows, rows[::-1])):
+        upsert_batch(spark.createDataFrame(order, "k long, v string"), 0, ["k"], str(tmp_path / str(i)))
+        kept.add(latest(spark, str(tmp_path / str(i)), ["k"]).first().v)
+    assert len(kept) == 1
+    upsert_batch(spark.createDataFrame([], "k long, v string"), 1, ["k"], str(tmp_path / "0"))
+    assert latest(spark, str(tmp_path / "0"), ["k"]).count() == 1 and latest(spark, str(tmp_path / "none"), ["k"]) is None
+
+
 def test_version_ignores_order_and_omitted_columns(spark):
     a = spark.createDataFrame([(i, f"x{i}", i * 7) for i in range(50)], "k long, v string, at long")
     v = lambda df: L.dataset_version(df, ["1"], ["at"]).first()
