@@ -46,6 +46,63 @@ def q_ranges_all(spark, sf_dir):
     return _ranges(table(spark, sf_dir, "orders"))
 
 
+_FAMILY = {"MACHINERY": "masters", "BUILDING": "league", "HOUSEHOLD": "league", "FURNITURE": "unknown", "AUTOMOBILE": "excluded-showmatch"}
+
+
+def _raw_contests(spark, sf_dir):
+    """Contests as a source would give them: text for times and formats, foreign ids, gaps."""
+    c, k = contests(spark, sf_dir), F.col("contest_id")
+    d = lambda f: F.date_format("ts", f)
+    iso = F.when(k % 6 == 0, F.concat(d("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(k % 6 == 1, F.concat(d("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200"))).when(k % 6 == 2, d("yyyy-MM-dd HH:mm:ss")).when(k % 6 != 5, F.concat(d("yyyy-MM-dd'T'HH:mm:ss"), F.lit("-05:00")))
+    status = F.when(k % 12 == 0, "cancelled").when(k % 12 == 1, "postponed").when(k % 12 == 2, "upcoming").when(k % 12 == 3, "live").otherwise("completed")
+    series = F.when(k % 7 == 0, None).otherwise(F.concat(F.lit("Best of "), F.col("series_format").substr(3, 1)))
+    score = lambda x, n: F.when((k % 23 == 0) & (x["leg"] == 1), None).otherwise(x[n])
+    legs = F.transform("legs", lambda x: F.struct(F.concat(F.lit(" "), F.lower(x["name"])).alias("name"), score(x, "score_a").alias("score_a"), score(x, "score_b").alias("score_b")))
+    rosters = F.when(k % 5 != 0, F.array(F.struct(F.col("side_a").alias("team"), F.col("roster_a").alias("players")), F.struct(F.col("side_b").alias("team"), F.col("roster_b").alias("players"))))
+    return c.select(
+        "contest_id", F.when(k % 6 != 5, iso).alias("scheduled_raw"), iso.alias("scheduled_iso"), status.alias("status"), series.alias("series_raw"), F.col("side_a").alias("team_a"), F.col("side_b").alias("team_b"),
+        F.when(k % 13 == 0, -1).otherwise(F.col("winner")).alias("winner_raw"), "event_id", legs.alias("legs"), rosters.alias("rosters"), (k % 17 == 0).alias("is_duplicate"), (k % 19 == 0).alias("is_showmatch"), F.col("family").alias("segment"),
+    )
+
+
+_NORMALISED = SQL + f""", x AS (SELECT c.*, CASE contest_id % 6 WHEN 0 THEN epoch_ms(ts) WHEN 1 THEN epoch_ms(ts) - 7200000 WHEN 3 THEN epoch_ms(ts) + 18000000 WHEN 4 THEN epoch_ms(ts) + 18000000 END AS tms,
+    CASE contest_id % 12 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'postponed' WHEN 2 THEN 'upcoming' WHEN 3 THEN 'live' ELSE 'completed' END AS status,
+    CASE WHEN contest_id % 7 = 0 THEN 'unknown' WHEN series_format = 'unknown' THEN 'unknown' ELSE series_format END AS fmt, CASE WHEN contest_id % 13 = 0 THEN NULL ELSE winner END AS won,
+    CASE family {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FAMILY.items())} END AS fam FROM c),
+lg AS (SELECT contest_id, count(*) FILTER (WHERE ok) AS played, count(*) FILTER (WHERE ok AND qa > qb) AS wa, count(*) FILTER (WHERE ok AND qb > qa) AS wb, count(*) AS n, count(*) FILTER (WHERE NOT recognized) AS unknown_legs, count(*) FILTER (WHERE NOT ok) AS blank_legs
+  FROM (SELECT *, NOT (contest_id % 23 = 0 AND leg = 1) AS ok FROM legs) GROUP BY 1),
+ro AS (SELECT l_orderkey AS contest_id, count(DISTINCT l_partkey) FILTER (WHERE r = 1) AS ra, count(DISTINCT l_partkey) FILTER (WHERE r = 2) AS rb FROM sl GROUP BY 1),
+y AS (SELECT x.*, coalesce(played, 0) AS played, CASE WHEN won = side_a THEN coalesce(wa, 0) WHEN won = side_b THEN coalesce(wb, 0) ELSE 0 END AS wins, coalesce(unknown_legs, 0) AS unknown_legs, coalesce(blank_legs, 0) AS blank_legs, ra, rb,
+  (epoch_ms(TIMESTAMP '1993-01-01')) AS lo, (epoch_ms(TIMESTAMP '1998-01-01') - 1) AS hi FROM x LEFT JOIN lg USING (contest_id) JOIN ro USING (contest_id)),
+z AS (SELECT *, concat_ws(',', CASE WHEN status = 'cancelled' THEN 'cancelled' END, CASE WHEN status = 'postponed' THEN 'postponed' END, CASE WHEN status <> 'completed' THEN 'not_completed' END, CASE WHEN contest_id % 19 = 0 THEN 'showmatch' END, CASE WHEN contest_id % 17 = 0 THEN 'duplicate' END,
+  CASE WHEN tms IS NULL THEN 'unknown_played_at' END, CASE WHEN tms < lo THEN 'before_scope_start' END, CASE WHEN tms > hi THEN 'after_scope_end' END, CASE WHEN fam NOT IN ('masters', 'league') THEN 'event_not_approved_family' END, CASE WHEN won IS NULL THEN 'winner_unknown' END,
+  CASE WHEN NOT CASE fmt WHEN 'bo1' THEN wins = 1 WHEN 'bo3' THEN wins = 2 WHEN 'bo5' THEN wins = 3 ELSE wins >= 1 END THEN 'invalid_series_result' END, CASE WHEN played < 1 THEN 'no_maps_played' END) AS reasons FROM y)
+SELECT contest_id, CASE WHEN side_a % 10 = 0 THEN 'team:' || side_a ELSE 't' || side_a END AS side_a, CASE WHEN won % 10 = 0 THEN 'team:' || won ELSE 't' || won END AS winner, tms AS ts_ms, CASE WHEN tms IS NULL THEN 'none' ELSE 'high' END AS ts_confidence, fmt AS series_format, unknown_legs, blank_legs,
+  concat_ws(',', CASE WHEN side_a % 10 = 0 THEN 'missing_team_mapping' END, CASE WHEN side_b % 10 = 0 THEN 'missing_team_mapping' END, CASE WHEN contest_id % 7 = 0 THEN 'missing_series_format' END, CASE WHEN contest_id % 6 = 5 THEN 'missing_timestamp' WHEN tms IS NULL THEN 'ambiguous_timezone' END,
+  CASE WHEN fam = 'unknown' THEN 'unknown_event_classification' WHEN fam = 'excluded-showmatch' THEN 'excluded_event_category' END, CASE WHEN tms < lo OR tms > hi THEN 'outside_date_scope' END, CASE WHEN contest_id % 17 = 0 THEN 'duplicate_match' END, CASE WHEN status <> 'completed' THEN 'not_completed' END,
+  CASE WHEN status = 'completed' AND won IS NULL THEN 'inconsistent_winner' END, CASE WHEN status = 'completed' AND (contest_id % 5 = 0 OR ra < 5 OR rb < 5) THEN 'incomplete_roster' END, CASE WHEN reasons <> '' THEN 'not_training_eligible' END) AS flags,
+  (CASE WHEN fam IN ('unknown', 'excluded-showmatch') THEN 1 ELSE 0 END) + (CASE WHEN reasons <> '' THEN 1 ELSE 0 END) AS critical_flags, reasons, reasons = '' AS eligible FROM z"""
+
+
+@query("normalize_contests", _NORMALISED)
+def q_normalize(spark, sf_dir):
+    """The whole job over raw contests: identities, times, formats, legs, flags and reasons against training."""
+    raw = _raw_contests(spark, sf_dir)
+    team = F.col("s_suppkey")
+    teams = table(spark, sf_dir, "supplier").where(team % 10 != 0).select(team.alias("team"), F.concat(F.lit("t"), team).alias("internal_id"))
+    family = F.lit(None).cast("string")
+    for k, v in _FAMILY.items():
+        family = F.when(F.col("segment") == k, v).otherwise(family)
+    raw = raw.withColumn("event_id", F.concat_ws("|", "event_id", "segment"))  # here an event has one family
+    events = raw.select("event_id", family.alias("family")).distinct()
+    n = N.normalize_contests(raw, teams, events, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD"], "1993-01-01", "1997-12-31", ["masters", "league"])
+    of = lambda code: F.size(F.filter("legs", lambda x: F.array_contains(x["flags"], code))).cast("long")
+    return n.select(
+        "contest_id", "side_a", "winner", F.unix_millis("ts").alias("ts_ms"), "ts_confidence", "series_format", of("unknown_map").alias("unknown_legs"), of("missing_map_score").alias("blank_legs"),
+        F.array_join("flags", ",").alias("flags"), "critical_flags", F.array_join("reasons", ",").alias("reasons"), "eligible",
+    )
+
+
 @query("normalize_legs", "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') THEN p_type ELSE lower(p_type) || ' ' END AS name, p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') AS recognized, p_partkey % 7 = 0 AS placeholder FROM part")
 def q_leg_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -57,10 +114,12 @@ def q_leg_names(spark, sf_dir):
     return p.select("p_partkey", leg["name"].alias("name"), leg["recognized"].alias("recognized"), F.lower(F.trim(raw)).isin(PLACEHOLDERS).alias("placeholder"))
 
 
-@query("normalize_series", "SELECT o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 'bo1' WHEN '2' THEN 'bo3' WHEN '3' THEN 'bo5' ELSE 'unknown' END AS series, count(*) AS n, count(*) FILTER (WHERE CASE left(o_orderpriority, 1) WHEN '1' THEN o_orderkey % 4 = 1 WHEN '2' THEN o_orderkey % 4 = 2 WHEN '3' THEN o_orderkey % 4 = 3 ELSE o_orderkey % 4 >= 1 END) AS valid FROM orders GROUP BY 1, 2")
+@query("normalize_series", """WITH t AS (SELECT o_orderpriority, o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'Bo 1' WHEN '2' THEN 'Upper final, best of 3' WHEN '3' THEN 'Grand Final' WHEN '4' THEN 'bo3 x' ELSE 'BO5' END AS text FROM orders),
+s AS (SELECT *, CASE WHEN regexp_matches(text, '^\\s*bo\\s*1\\s*$', 'i') THEN 'bo1' WHEN regexp_matches(text, '^\\s*bo\\s*3\\s*$', 'i') THEN 'bo3' WHEN regexp_matches(text, '^\\s*bo\\s*5\\s*$', 'i') THEN 'bo5' WHEN regexp_matches(text, 'best\\s*of\\s*1', 'i') THEN 'bo1' WHEN regexp_matches(text, 'best\\s*of\\s*3', 'i') THEN 'bo3' WHEN regexp_matches(text, 'best\\s*of\\s*5', 'i') THEN 'bo5' ELSE 'unknown' END AS series FROM t)
+SELECT o_orderpriority, series, count(*) AS n, count(*) FILTER (WHERE CASE series WHEN 'bo1' THEN o_orderkey % 4 = 1 WHEN 'bo3' THEN o_orderkey % 4 = 2 WHEN 'bo5' THEN o_orderkey % 4 = 3 ELSE o_orderkey % 4 >= 1 END) AS valid FROM s GROUP BY 1, 2""")
 def q_series(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    text = F.when(F.col("o_orderpriority").startswith("1"), "Bo 1").when(F.col("o_orderpriority").startswith("2"), "Best of 3 - upper").when(F.col("o_orderpriority").startswith("3"), "Grand Final").otherwise("series")
+    text = F.when(F.col("o_orderpriority").startswith("1"), "Bo 1").when(F.col("o_orderpriority").startswith("2"), "Upper final, best of 3").when(F.col("o_orderpriority").startswith("3"), "Grand Final").when(F.col("o_orderpriority").startswith("4"), "bo3 x").otherwise("BO5")
     s = o.withColumn("series", N.norm_series(text))
     return s.groupBy("o_orderpriority", "series").agg(F.count(F.lit(1)).alias("n"), F.count_if(N.valid_wins(F.col("series"), F.col("o_orderkey") % 4)).alias("valid"))
 
