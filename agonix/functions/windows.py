@@ -48,6 +48,19 @@ def with_ordinal(df: DataFrame, coarse: str, order: list[str], name: str = "ordi
     return df.withColumn("_in", inner).join(offsets, coarse).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
+def with_place(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with 1, 2, 3, ... in ``order``, which should leave no ties: rows are range-partitioned and numbered inside a
+    partition, a partition begins where those before it end (one row per partition passes through one task)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    df = stored(df, "unplaced")  # the ranges are sampled from it
+    at = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = at.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
+
+
 def with_running_sum(df: DataFrame, value: str, keys: list[str], order: list[str], name: str) -> DataFrame:
     """``df`` with the sum of ``value`` up to and with each row, in ``order`` within ``keys``, without a window over a whole
     key: rows are range-partitioned by (keys, order), summed inside a partition, and a partition's start is the sum of the

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agonix.functions.windows import with_place, with_running_sum
+
 DIMENSIONS = ["aggression", "tempo", "control", "utility", "adaptability", "clutch"]
 _SAFE = F.try_divide
 
@@ -128,46 +130,80 @@ def compare_legs(h: DataFrame, pairs: DataFrame, close: float = 5.0) -> DataFram
     )
 
 
+def _half_up(x, places: int = 2):
+    """Rounded half up on the scaled number."""
+    return F.floor(x * 10**places + 0.5) / 10**places
+
+
+def _ranked(t: DataFrame, order: list) -> DataFrame:
+    """``t`` with rank over all rows and region_rank, the place within the region in the same order; no single task."""
+    t = with_place(t, order, "rank")
+    return with_running_sum(t.withColumn("_one", F.lit(1).cast("long")), "_one", ["region"], ["rank"], "region_rank").drop("_one")
+
+
 def profile_rankings(agg: DataFrame, profiles: DataFrame, region: DataFrame) -> DataFrame:
-    """Weighted profile score with overall and regional rank, and strongest and weakest leg."""
+    """Score of the profile: .35 rating, .25 form, .20 depth (mean strength over the team's legs, 0 without any), .15 consistency,
+    .05 clutch, each 0-100, rounded to two places; ties by rating, then team. With strongest and weakest leg."""
+    strength = F.map_values("leg_performance")
+    depth = F.when(F.size(strength) > 0, 100 * F.aggregate(strength, F.lit(0.0), lambda acc, x: acc + x["rate"]) / F.size(strength)).otherwise(0.0)
     legs = F.transform(F.map_entries("leg_performance"), lambda e: F.struct((-F.round(e["value"]["rate"], 9)).alias("k"), e["key"].alias("name")))
-    a = agg.select("team", "win_rate", "form10", F.array_sort(legs).alias("l"))
+    a = agg.select("team", (100 * F.coalesce("win_rate", F.lit(0.5))).alias("rating"), (100 * F.coalesce("form10", F.lit(0.5))).alias("form"), F.coalesce(depth, F.lit(0.0)).alias("depth"), F.array_sort(legs).alias("l"))
     low = F.array_sort(F.transform("l", lambda e: F.struct((-e["k"]).alias("k"), e["name"].alias("name"))))
     t = profiles.join(a, "team").join(region, "team")
-    score = 0.35 * 100 * F.coalesce("win_rate", F.lit(0.5)) + 0.25 * 100 * F.coalesce("form10", F.lit(0.5)) + 0.2 * F.col("adaptability") + 0.15 * 100 * F.col("stability") + 0.05 * F.col("clutch")
-    t = t.withColumns({"score": F.round(score, 4), "strongest": F.try_element_at("l", F.lit(1)).getField("name"), "weakest": F.try_element_at(low, F.lit(1)).getField("name")})
-    rank = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("score"), "team"))
-    # A ranking of all teams is one ordered list; one row per team is what passes through it.
-    return t.withColumns({"region_rank": rank("region"), "rank": rank(F.lit(0))}).select("team", "region", "score", "rank", "region_rank", "strongest", "weakest")
+    score = F.col("rating") * 0.35 + F.col("form") * 0.25 + F.col("depth") * 0.2 + F.col("adaptability") * 0.15 + F.col("clutch") * 0.05
+    t = t.withColumns({"score": _half_up(F.round(score, 9)), "strongest": F.try_element_at("l", F.lit(1)).getField("name"), "weakest": F.try_element_at(low, F.lit(1)).getField("name")})
+    return _ranked(t.withColumn("rating", F.round("rating", 9)), [F.desc("score"), F.desc("rating"), F.asc("team")]).select("team", "region", "score", "rank", "region_rank", "strongest", "weakest", F.round("depth", 6).alias("depth"))
+
+
+#: The rating's middle and spread, legs that can be known, rounds that fill a leg, weights of what was played.
+MIDDLE, SPREAD, KNOWN, FULL = 1500.0, 400.0, 13, 13.0
+TIERS = {"major": 1.0, "international": 0.6, "league": 0.3, "other": 0.1}
+#: Contests of a well-sampled team, the largest penalty, the weights of the score's terms.
+SAMPLED, PENALTY = 10, 15.0
+TERMS = {"base": 0.35, "form": 0.25, "opponents": 0.15, "depth": 0.1, "tier": 0.1, "consistency": 0.05}
 
 
-def power_state(s: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Per team: the latest row's record and form, contests, and the average weight of the levels played.
+def _clamp(x):
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.nanvl(x, F.lit(0.0)))), F.lit(0.0))
 
-    s: sides with win_rate, last5_win_rate and last10_win_rate."""
-    weight = F.lit(0.1)
-    for level, w in weights.items():
-        weight = F.when(F.col("level") == level, w).otherwise(weight)
-    latest = F.max_by(F.struct("win_rate", "last5_win_rate", "last10_win_rate"), F.struct("ts_ms", "contest_id"))
-    p = s.groupBy("team").agg(F.count(F.lit(1)).alias("contests"), latest.alias("l"), F.avg(weight).alias("tier"))
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-    return p.select("team", "contests", clamp(100 * F.col("l.win_rate")).alias("rating"), clamp(100 * F.col("l.last10_win_rate")).alias("form"), clamp(100 * (1 - F.abs(F.col("l.last5_win_rate") - F.col("l.last10_win_rate")))).alias("consistency"), clamp(100 * F.col("tier")).alias("tier"))
+
+def _rescaled(elo):
+    """A rating on 0-100, its middle at 50."""
+    return _clamp(50 + (elo - MIDDLE) / SPREAD * 50)
+
+
+def power_state(s: DataFrame, known: int = KNOWN, full: float = FULL) -> DataFrame:
+    """Per team with a row in the window: the state its newest row shows, and how high it played over the whole window.
+
+    s: one row per contest and side in the window: team, ts_ms, contest_id, elo, win_rate, last10_contests, last10_win_rate,
+    leg_breadth, last10_leg_win_rate, avg_rounds_won, avg_opp_elo_last10, is_major, is_international, is_league."""
+    weight = F.when(F.col("is_major"), TIERS["major"]).when(F.col("is_international"), TIERS["international"]).when(F.col("is_league"), TIERS["league"]).otherwise(TIERS["other"])
+    names = ["elo", "win_rate", "last10_contests", "last10_win_rate", "leg_breadth", "last10_leg_win_rate", "avg_rounds_won", "avg_opp_elo_last10"]
+    p = s.groupBy("team").agg(F.count(F.lit(1)).alias("contests"), F.max_by(F.struct(*names), F.struct("ts_ms", "contest_id")).alias("l"), F.avg(weight).alias("w")).select("team", "contests", "w", "l.*")
+    depth = (_clamp(F.col("leg_breadth") / F.lit(float(known)) * 100) + _clamp(F.col("last10_leg_win_rate") * 100) + _clamp(F.col("avg_rounds_won") / F.lit(full) * 100)) / 3
+    return p.select(
+        "team", "contests", "elo", _clamp(F.when(F.col("last10_contests") > 0, F.col("last10_win_rate")).otherwise(F.col("win_rate")) * 100).alias("form"), _clamp(depth).alias("depth"),
+        _clamp(100 - F.abs(F.col("last10_win_rate") - F.col("win_rate")) * 100).alias("consistency"), _rescaled(F.col("avg_opp_elo_last10")).alias("opponents"), _clamp(F.col("w") * 100).alias("tier"),
+    )
 
 
 def power_rankings(teams: DataFrame, state: DataFrame) -> DataFrame:
-    """Evidence-based ranking: each component is shrunk to the population mean by min(n / 10, 1), weighted, and lowered by
-    15 (1 - n / 10); teams without a state score 0. Terms are rounded to two places."""
-    parts = {"rating": 0.4, "form": 0.3, "consistency": 0.2, "tier": 0.1}
+    """Evidence-based ranking. Every term but the rating's is drawn to the mean of all states (50 without any) by 1 - n / 10 below
+    ten contests, and what is missing to ten costs up to 15 points. Terms are rounded to two places. A team without a
+    state is unrated and scores 0. Order: score, the rating's term, team.
+
+    teams: team, region, verified; state: power_state()."""
+    parts = [k for k in TERMS if k != "base"]
     means = state.agg(*[F.coalesce(F.avg(k), F.lit(50.0)).alias(f"m_{k}") for k in parts])
     t = teams.join(state, "team", "left").join(F.broadcast(means))  # one row
-    w = F.least(F.col("contests") / F.lit(10.0), F.lit(1.0))
-    terms = [F.round(v * (w * F.col(k) + (1 - w) * F.col(f"m_{k}")), 2) for k, v in parts.items()]
-    base = sum(terms[1:], terms[0])
-    score = F.when(F.col("contests").isNull(), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), base - F.round(15 * (1 - w), 2)), 2))
-    t = t.withColumn("score", score)
-    rank = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("score"), "team"))
-    tier = F.when(F.col("contests").isNull(), "unrated").when(F.col("contests") >= 10, "verified").otherwise("provisional")
-    return t.withColumns({"rank": rank(F.lit(0)), "region_rank": rank("region"), "confidence": tier}).select("team", "region", "score", "rank", "region_rank", "confidence")
+    w = F.least(F.col("contests") / F.lit(float(SAMPLED)), F.lit(1.0))
+    exact = lambda x: _half_up(F.round(x, 9))
+    t = t.withColumns({"t_base": exact(_rescaled(F.col("elo")) * TERMS["base"]), **{f"t_{k}": exact((F.col(f"m_{k}") + (F.col(k) - F.col(f"m_{k}")) * w) * TERMS[k]) for k in parts}, "t_penalty": -exact(PENALTY * F.greatest(F.lit(0.0), 1 - F.col("contests") / F.lit(float(SAMPLED))))})
+    total = sum((F.col(f"t_{k}") for k in parts), F.col("t_base")) + F.col("t_penalty")
+    rated = F.col("contests").isNotNull()
+    level = F.when(~rated, "unrated").when(F.coalesce("verified", F.lit(False)) & (F.col("contests") >= SAMPLED), "verified").otherwise("provisional")
+    t = t.withColumns({"score": F.when(rated, exact(total)).otherwise(0.0), "base": F.when(rated, F.col("t_base")).otherwise(0.0), "confidence": level})
+    return _ranked(t, [F.desc("score"), F.desc("base"), F.asc("team")]).select("team", "region", "score", "rank", "region_rank", "confidence", F.coalesce("contests", F.lit(0)).alias("contests"), *[f"t_{k}" for k in [*TERMS, "penalty"]])
 
 
 def catalog(c: DataFrame, family: str | None = None, team: int | None = None, limit: int = 50) -> DataFrame:

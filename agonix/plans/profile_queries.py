@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agonix.functions.windows import with_last_rows
 from agonix.operators import features as X
 from agonix.operators import profiles as P
+from agonix.operators import rating as R
 from agonix.sources.contests import SQL, accepted, contests, table
 
 from .base import query
@@ -111,37 +113,85 @@ def q_legs(spark, sf_dir):
     return P.compare_legs(_history(spark, sf_dir), _pairs(spark, sf_dir)).drop("avg_a", "avg_b")
 
 
-@query("profile_rankings", HIST + """, t AS (SELECT prof.team, r_name AS region, round(0.35 * 100 * coalesce(win_rate, 0.5) + 0.25 * 100 * coalesce(form10, 0.5) + 0.2 * adaptability + 0.15 * 100 * stability + 0.05 * clutch, 4) AS score
-  FROM prof JOIN agg USING (team) JOIN supplier ON s_suppkey = prof.team JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
-SELECT team, region, score, row_number() OVER (ORDER BY score DESC, team) AS rank, row_number() OVER (PARTITION BY region ORDER BY score DESC, team) AS region_rank,
-  (SELECT arg_min(name, (-round(rate, 9), name)) FROM per WHERE per.team = t.team) AS strongest, (SELECT arg_min(name, (round(rate, 9), name)) FROM per WHERE per.team = t.team) AS weakest FROM t""")
+@query("profile_rankings", HIST + """, dp AS (SELECT team, 100 * avg(rate) AS depth FROM per GROUP BY 1),
+t AS (SELECT prof.team, r_name AS region, round(100 * coalesce(win_rate, 0.5), 9) AS rating, coalesce(depth, 0) AS depth, floor(round(0.35 * 100 * coalesce(win_rate, 0.5) + 0.25 * 100 * coalesce(form10, 0.5) + 0.2 * coalesce(depth, 0) + 0.15 * adaptability + 0.05 * clutch, 9) * 100 + 0.5) / 100 AS score
+  FROM prof JOIN agg USING (team) LEFT JOIN dp USING (team) JOIN supplier ON s_suppkey = prof.team JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT team, region, score, row_number() OVER (ORDER BY score DESC, rating DESC, team) AS rank, row_number() OVER (PARTITION BY region ORDER BY score DESC, rating DESC, team) AS region_rank,
+  (SELECT arg_min(name, (-round(rate, 9), name)) FROM per WHERE per.team = t.team) AS strongest, (SELECT arg_min(name, (round(rate, 9), name)) FROM per WHERE per.team = t.team) AS weakest, round(depth, 6) AS depth FROM t""")
 def q_prank(spark, sf_dir):
     a = _agg(spark, sf_dir)
     return P.profile_rankings(a, P.team_profile(a), _regions(spark, sf_dir))
 
 
-_STATE = SQL + _FORM + f""", rec AS (SELECT s.contest_id, s.side, s.team, s.ts, s.level, {_RECORD} {_PRIOR} GROUP BY 1, 2, 3, 4, 5),
-z AS (SELECT rec.*, last5_win_rate, last10_win_rate, row_number() OVER (PARTITION BY team ORDER BY rec.ts DESC, contest_id DESC) AS rn FROM rec JOIN form USING (contest_id, side, team)),
-st AS (SELECT team, count(*) AS contests, 100 * max(win_rate) FILTER (WHERE rn = 1) AS rating, 100 * max(last10_win_rate) FILTER (WHERE rn = 1) AS form, 100 * (1 - abs(max(last5_win_rate) FILTER (WHERE rn = 1) - max(last10_win_rate) FILTER (WHERE rn = 1))) AS consistency,
-  100 * avg(CASE WHEN level = 'international' THEN 1.0::DOUBLE ELSE 0.3 END) AS tier FROM z GROUP BY 1)"""
-_LEVELS = {"international": 1.0, "league": 0.3}
+#: A rating without history of its own, so that plain SQL has the same one: the win rate on the rating's scale. The queries
+#: power_state_elo and power_rankings_elo take the real one.
+_WINDOW = "1993-01-01"
+_RATES_SQL = f""", opr AS (SELECT s.contest_id, s.side, CASE WHEN count(p.contest_id) = 0 THEN 0.5 ELSE count(p.contest_id) FILTER (WHERE p.won) * 1.0::DOUBLE / count(p.contest_id) END AS r {_PRIOR} GROUP BY 1, 2),
+so AS (SELECT s.contest_id, s.side, s.team, s.ts, r AS opp_rate FROM s JOIN opr ON opr.contest_id = s.contest_id AND opr.side <> s.side),
+orank AS (SELECT s.contest_id, s.side, p.opp_rate, row_number() OVER (PARTITION BY s.contest_id, s.side ORDER BY p.ts DESC, p.contest_id DESC) AS r FROM s LEFT JOIN so p ON p.team = s.team AND p.ts < s.ts),
+opp AS (SELECT contest_id, side, coalesce(avg(opp_rate) FILTER (WHERE r <= 10), 0.5) AS avg_opp_rate_last10 FROM orank GROUP BY 1, 2),
+lnb AS (SELECT s.contest_id, s.side, count(DISTINCT p.name) AS leg_breadth FROM s LEFT JOIN ls p ON p.team = s.team AND p.ts < s.ts AND p.recognized GROUP BY 1, 2),
+arw AS (SELECT s.contest_id, s.side, CASE WHEN coalesce(sum(p.legs_played), 0) = 0 THEN 0 ELSE sum(p.rounds_won) / sum(p.legs_played)::DOUBLE END AS avg_rounds_won {_PRIOR} GROUP BY 1, 2),
+brd AS (SELECT * FROM lnb JOIN arw USING (contest_id, side))"""
+_STATE = SQL + _FORM + _RATES_SQL + f""", rec AS (SELECT s.contest_id, s.side, s.team, s.ts, s.level, s.family, {_RECORD} {_PRIOR} GROUP BY 1, 2, 3, 4, 5, 6),
+z AS (SELECT rec.*, form.* EXCLUDE (contest_id, side, team), leg_breadth, avg_rounds_won, avg_opp_rate_last10, row_number() OVER (PARTITION BY rec.team ORDER BY rec.ts DESC, rec.contest_id DESC) AS rn
+  FROM rec JOIN form USING (contest_id, side, team) JOIN opp USING (contest_id, side) JOIN brd USING (contest_id, side) WHERE rec.ts >= TIMESTAMP '{_WINDOW}'),
+l AS (SELECT *, 1500 + 400 * (win_rate - 0.5) AS elo, 1500 + 400 * (avg_opp_rate_last10 - 0.5) AS oelo FROM z WHERE rn = 1),
+st AS (SELECT l.team, n AS contests, elo, 100 * CASE WHEN last10_contests > 0 THEN last10_win_rate ELSE win_rate END AS form,
+  (least(100, leg_breadth / 5.0::DOUBLE * 100) + 100 * last10_leg_win_rate + least(100, avg_rounds_won / 50.0::DOUBLE * 100)) / 3 AS depth, 100 - 100 * abs(last10_win_rate - win_rate) AS consistency, greatest(0, least(100, 50 + (oelo - 1500) / 400.0::DOUBLE * 50)) AS opponents, 100 * w AS tier
+  FROM l JOIN (SELECT team, count(*) AS n, avg(CASE WHEN family = 'MACHINERY' THEN 1.0::DOUBLE WHEN level = 'international' THEN 0.6 WHEN level = 'league' THEN 0.3 ELSE 0.1 END) AS w FROM z GROUP BY 1) USING (team))"""
+
+
+def _sides_in_window(spark, sf_dir, real: bool):
+    """What power_state() reads, from the window's start on; the rating is the real one or the win rate on its scale."""
+    c = contests(spark, sf_dir)
+    s = X.rounds(X.leg_pool(X.recent_form(X.record(X.sides(c)))))
+    if real:
+        s = R.opponent_strength(s, R.elo(c))
+    else:
+        other = s.select("contest_id", F.col("team").alias("opp"), F.col("win_rate").alias("opp_rate"))
+        s = with_last_rows(s.join(other, ["contest_id", "opp"]), {"r10": (F.avg("opp_rate"), 10)}, ["team"], ["contest_id", "side"])
+        scale = lambda rate: 1500 + 400 * (rate - 0.5)
+        s = s.withColumns({"elo": scale(F.col("win_rate")), "avg_opp_elo_last10": scale(F.coalesce("r10", F.lit(0.5)))})
+    flags = {"is_major": F.col("family") == "MACHINERY", "is_international": F.col("level") == "international", "is_league": F.col("level") == "league"}
+    return s.where(F.col("ts") >= F.lit(_WINDOW).cast("timestamp_ntz")).withColumns(flags)
+
+
+_PARTS = ["elo", "form", "depth", "consistency", "opponents", "tier"]
+
+
+@query("power_state", _STATE + " SELECT team, contests, " + ", ".join(f"round({k}, 6) AS {k}" for k in _PARTS) + " FROM st")
+def q_state(spark, sf_dir):
+    return _r(P.power_state(_sides_in_window(spark, sf_dir, False), 5, 50.0), *_PARTS, places=6)
 
 
-def _state(spark, sf_dir):
-    return P.power_state(X.recent_form(X.record(X.sides(contests(spark, sf_dir)))), _LEVELS)
+@query("power_state_elo")
+def q_state_elo(spark, sf_dir):
+    return _r(P.power_state(_sides_in_window(spark, sf_dir, True), 5, 50.0), *_PARTS, places=6)
 
 
-@query("power_state", _STATE + " SELECT team, contests, round(rating, 6) AS rating, round(form, 6) AS form, round(consistency, 6) AS consistency, round(tier, 6) AS tier FROM st")
-def q_state(spark, sf_dir):
-    return _r(_state(spark, sf_dir), "rating", "form", "consistency", "tier", places=6)
+def _verified(spark, sf_dir):
+    return _regions(spark, sf_dir).withColumn("verified", F.col("team") % 4 != 0)
+
 
+_TERMS = ["base", "form", "opponents", "depth", "tier", "consistency"]
+_RANKS = _STATE + f""", m AS (SELECT {", ".join(f"coalesce(avg({k}), 50) AS m_{k}" for k in _TERMS[1:])} FROM st),
+w AS (SELECT s_suppkey AS team, r_name AS region, s_suppkey % 4 <> 0 AS verified, least(contests / 10.0::DOUBLE, 1.0) AS w, st.* EXCLUDE (team), m.* FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN st ON st.team = s_suppkey CROSS JOIN m),
+q AS (SELECT *, floor(round(0.35 * greatest(0, least(100, 50 + (elo - 1500) / 400.0::DOUBLE * 50)), 9) * 100 + 0.5) / 100 AS t_base, {", ".join(f"floor(round({v} * (m_{k} + ({k} - m_{k}) * w), 9) * 100 + 0.5) / 100 AS t_{k}" for k, v in {"form": 0.25, "opponents": 0.15, "depth": 0.1, "tier": 0.1, "consistency": 0.05}.items())},
+  -(floor(round(15 * greatest(0, 1 - contests / 10.0::DOUBLE), 9) * 100 + 0.5) / 100) AS t_penalty FROM w),
+p AS (SELECT *, CASE WHEN contests IS NULL THEN 0 ELSE floor(round(t_base + t_form + t_opponents + t_depth + t_tier + t_consistency + t_penalty, 9) * 100 + 0.5) / 100 END AS score, coalesce(t_base, 0) AS b FROM q)
+SELECT team, region, score, row_number() OVER (ORDER BY score DESC, b DESC, team) AS rank, row_number() OVER (PARTITION BY region ORDER BY score DESC, b DESC, team) AS region_rank, CASE WHEN contests IS NULL THEN 'unrated' WHEN verified AND contests >= 10 THEN 'verified' ELSE 'provisional' END AS confidence, coalesce(contests, 0) AS contests, {", ".join(f"t_{k}" for k in [*_TERMS, "penalty"])} FROM p"""
 
-@query("power_rankings", _STATE + """, m AS (SELECT coalesce(avg(rating), 50) AS mr, coalesce(avg(form), 50) AS mf, coalesce(avg(consistency), 50) AS mc, coalesce(avg(tier), 50) AS mt FROM st),
-w AS (SELECT s_suppkey AS team, r_name AS region, contests, least(contests / 10.0::DOUBLE, 1.0) AS w, st.* EXCLUDE (team, contests), m.* FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN st ON st.team = s_suppkey CROSS JOIN m),
-q AS (SELECT team, region, contests, CASE WHEN contests IS NULL THEN 0 ELSE round(greatest(0, round(0.4 * (w * rating + (1 - w) * mr), 2) + round(0.3 * (w * form + (1 - w) * mf), 2) + round(0.2 * (w * consistency + (1 - w) * mc), 2) + round(0.1 * (w * tier + (1 - w) * mt), 2) - round(15 * (1 - w), 2)), 2) END AS score FROM w)
-SELECT team, region, score, row_number() OVER (ORDER BY score DESC, team) AS rank, row_number() OVER (PARTITION BY region ORDER BY score DESC, team) AS region_rank, CASE WHEN contests IS NULL THEN 'unrated' WHEN contests >= 10 THEN 'verified' ELSE 'provisional' END AS confidence FROM q""")
+
+@query("power_rankings", _RANKS)
 def q_power(spark, sf_dir):
-    return P.power_rankings(_regions(spark, sf_dir), _state(spark, sf_dir))
+    return P.power_rankings(_verified(spark, sf_dir), P.power_state(_sides_in_window(spark, sf_dir, False), 5, 50.0))
+
+
+@query("power_rankings_elo")
+def q_power_elo(spark, sf_dir):
+    """With the real rating and strength of opponents."""
+    return P.power_rankings(_verified(spark, sf_dir), P.power_state(_sides_in_window(spark, sf_dir, True), 5, 50.0))
 
 
 @query("historical_catalog", SQL + "SELECT contest_id, ts, side_a, side_b, family, (SELECT count(*) FROM acc WHERE family = 'BUILDING') AS total FROM acc WHERE family = 'BUILDING' ORDER BY ts DESC, contest_id LIMIT 50")
