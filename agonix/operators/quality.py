@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names that stand for a leg that wasn't played, and severities in order.
 PLACEHOLDERS = ["n/a", "na", "tbd", "unplayed", "decider", ""]
 SEVERITY = {"fatal": 0, "error": 1, "warning": 2, "info": 3}
 
@@ -81,7 +82,7 @@ def find_duplicates(c: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def audit(c: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
-    """All rules and duplicates, by severity, code, entity and field."""
+    """All rules and duplicates; by_severity() puts them in the order of a report."""
     dup = find_duplicates(c).select(F.lit("duplicate-candidate").alias("code"), F.when(F.col("confidence") == "high", "warning").otherwise("info").alias("severity"), F.lit("match").alias("entity_type"), F.col("id_a").cast("string").alias("entity_id"), F.lit("contest_id").alias("field"))
     every = roster_issues(c).unionByName(leg_issues(c)).unionByName(score_issues(c)).unionByName(timestamp_issues(c, start_ms, end_ms)).unionByName(dup)
     return every
@@ -146,3 +147,72 @@ def validate_contract(df: DataFrame, required: list[str], key: str) -> tuple[Dat
     x = df.withColumn("missing", bad)
     return x.where(F.size("missing") == 0).drop("missing"), x.where(F.size("missing") > 0).select(key, "missing")
 
+
+
+def _zero_filled(counts: DataFrame, fixed: list[tuple[str, str]]) -> DataFrame:
+    """section, name, value, with a 0 for each fixed pair that nothing was counted for."""
+    zero = counts.sparkSession.createDataFrame([(s, n, 0.0) for s, n in fixed], "section string, name string, value double")
+    return counts.select("section", "name", F.col("value").cast("double").alias("value")).unionByName(zero).groupBy("section", "name").agg(F.sum("value").alias("value"))
+
+
+#: Error codes of a fetch that failed and of a page that couldn't be read.
+NETWORK_ERRORS, PARSE_ERRORS = ["timeout", "rate_limited", "unexpected_status", "fetch_failed"], ["parse_failure", "critical_field_missing"]
+
+
+def quality_report(c: DataFrame, events: DataFrame, discovered: DataFrame, failures: DataFrame, families: list[str], formats: list[str], duplicate_links: int = 0) -> DataFrame:
+    """section, name, value: what a run has found and what its records lack, by year, family, format, leg and team.
+
+    A contest is read once: it becomes one row per tag that holds for it, and all tags are counted in one grouping. Families,
+    formats and totals are there with 0 too; teams without a mapping (id "team:...") are counted nowhere.
+    c: normalize.normalize_contests(); events: event_id, inclusion; discovered: contest_id; failures: error_code."""
+    flag = lambda code: F.array_contains("flags", code)
+    done = F.col("status") == "completed"
+    totals = {
+        "normalized": F.lit(True), "eligible": F.col("eligible"), "ineligible": ~F.col("eligible"), "missing_team_mappings": flag("missing_team_mapping"), "ambiguous_timestamps": F.col("ts_confidence") == "none", "missing_series_format": flag("missing_series_format"),
+        "missing_winner": done & F.col("winner").isNull(), "missing_legs": F.size("legs") == 0, "unknown_legs": F.exists("legs", lambda x: ~x["recognized"]), "incomplete_rosters": flag("incomplete_roster"), "forfeits": done & F.array_contains("reasons", "invalid_series_result"),
+    }
+    tag = lambda section, name: F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"))
+    mapped = lambda s: F.when(~F.col(s).startswith("team:"), tag("team", F.col(s)))
+    tags = F.array_compact(F.array(
+        *[F.when(v, tag("total", F.lit(k))) for k, v in totals.items()], F.when(F.col("ts").isNotNull(), tag("year", F.year("ts"))), tag("family", F.col("family")), tag("format", F.col("series_format")), mapped("side_a"), mapped("side_b"),
+    ))
+    every = F.concat(tags, F.transform("legs", lambda x: tag("leg", x["name"])))
+    counts = c.select(F.explode(every).alias("x")).groupBy("x.section", "x.name").agg(F.count(F.lit(1)).alias("value"))
+    of = lambda df, what: df.groupBy(what.alias("name")).agg(F.count(F.lit(1)).alias("value")).where("name is not null").select(F.lit("total").alias("section"), "name", "value")
+    kind = F.when(F.col("inclusion") == "included", "included_events").when(F.col("inclusion") == "unknown", "unknown_events").otherwise("excluded_events")
+    error = F.when(F.col("error_code").isin(NETWORK_ERRORS), "network_failures").when(F.col("error_code").isin(PARSE_ERRORS), "parse_failures")
+    counts = counts.unionByName(of(events, kind)).unionByName(of(events, F.lit("discovered_events"))).unionByName(of(discovered, F.lit("discovered_contests"))).unionByName(of(failures, error))
+    fixed = [("total", n) for n in [*totals, "included_events", "excluded_events", "unknown_events", "discovered_events", "discovered_contests", "network_failures", "parse_failures"]]
+    out = _zero_filled(counts, fixed + [("family", n) for n in families] + [("format", n) for n in formats])
+    value = lambda n: F.max(F.when((F.col("section") == "total") & (F.col("name") == n), F.col("value")))
+    share = out.agg(F.coalesce(F.floor(F.try_divide(value("eligible"), value("normalized")) * 1000 + 0.5) / 10, F.lit(0.0)).alias("value"))
+    links = F.lit(float(duplicate_links))
+    return out.unionByName(share.select(F.lit("total").alias("section"), F.lit("percent_eligible").alias("name"), "value")).unionByName(share.select(F.lit("total").alias("section"), F.lit("duplicate_links").alias("name"), links.alias("value")))
+
+
+def prerun_report(events: DataFrame, discovered: DataFrame, failed: DataFrame, approved: list[str], scope_start: str, expected: tuple[str, ...] = ("masters", "champions"), duplicate_links: int = 0) -> DataFrame:
+    """section, name, value: what a run would read, and anomalies a person should look at before it starts.
+
+    included by approved family (0 too), excluded by reason, totals, and anomaly rows: a family without events, no links, more
+    duplicate than unique links, more unknown events than half, failed discoveries, each event that begins before the scope.
+    events: event_id, class, inclusion (event_inclusion()), start_date; discovered: contest_id, listed_status; failed: event_id."""
+    known = F.col("inclusion") == "included"
+    reason = F.when(F.col("inclusion").startswith("excluded:"), F.substring_index("inclusion", ":", -1)).otherwise(F.col("inclusion"))
+    tag = lambda section, name: F.struct(F.lit(section).alias("section"), name.alias("name"))
+    tags = F.array_compact(F.array(
+        tag("total", F.lit("candidate_events")), F.when(known, tag("included", F.col("class"))).when(F.col("inclusion") == "unknown", tag("total", F.lit("unknown_events"))).otherwise(tag("excluded", reason)),
+        F.when(F.col("start_date").cast("timestamp") < F.to_timestamp(F.lit(f"{scope_start}T00:00:00Z")), tag("anomaly", F.concat(F.lit("starts-before-scope:"), F.col("event_id").cast("string")))),
+    ))
+    count = lambda df: df.groupBy("x.section", "x.name").agg(F.count(F.lit(1)).alias("value"))
+    link = F.array(tag("total", F.lit("links")), F.when(F.col("listed_status") == "completed", tag("total", F.lit("completed"))).otherwise(tag("total", F.lit("non_completed"))))
+    counts = count(events.select(F.explode(tags).alias("x"))).unionByName(count(discovered.select(F.explode(link).alias("x")))).unionByName(count(failed.select(F.explode(F.array(tag("total", F.lit("failed_discoveries")))).alias("x"))))
+    fixed = [("total", n) for n in ("candidate_events", "unknown_events", "links", "completed", "non_completed", "failed_discoveries")] + [("included", f) for f in approved]
+    out = _zero_filled(counts, fixed)
+    spark = out.sparkSession
+    out = out.unionByName(spark.createDataFrame([("total", "duplicate_links", float(duplicate_links))], "section string, name string, value double"))
+    v = {(r["section"], r["name"]): r["value"] for r in out.where("section in ('total', 'included')").collect()}  # totals and families: a few rows
+    total = lambda n: v["total", n]
+    odd = [(f"no-events:{f}", 0.0) for f in approved if not v["included", f]] + [(f"expected-family-missing:{f}", 0.0) for f in expected if not v.get(("included", f))]
+    odd += [("no-links", 0.0)] * (not total("links")) + [("duplicate-links-exceed-links", total("duplicate_links"))] * (0 < total("links") < total("duplicate_links"))
+    odd += [("unknown-events-exceed-half", total("unknown_events"))] * (total("unknown_events") > total("candidate_events") / 2) + [("failed-discoveries", total("failed_discoveries"))] * bool(total("failed_discoveries"))
+    return out.unionByName(spark.createDataFrame([("anomaly", n, x) for n, x in odd], "section string, name string, value double"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agonix.operators import lifecycle as L
 from agonix.operators import normalize as N
+from agonix.operators import quality as Q
 from agonix.sources.contests import SQL, contests, table
 
 from .base import query
@@ -76,17 +77,16 @@ y AS (SELECT x.*, coalesce(played, 0) AS played, CASE WHEN won = side_a THEN coa
   (epoch_ms(TIMESTAMP '1993-01-01')) AS lo, (epoch_ms(TIMESTAMP '1998-01-01') - 1) AS hi FROM x LEFT JOIN lg USING (contest_id) JOIN ro USING (contest_id)),
 z AS (SELECT *, concat_ws(',', CASE WHEN status = 'cancelled' THEN 'cancelled' END, CASE WHEN status = 'postponed' THEN 'postponed' END, CASE WHEN status <> 'completed' THEN 'not_completed' END, CASE WHEN contest_id % 19 = 0 THEN 'showmatch' END, CASE WHEN contest_id % 17 = 0 THEN 'duplicate' END,
   CASE WHEN tms IS NULL THEN 'unknown_played_at' END, CASE WHEN tms < lo THEN 'before_scope_start' END, CASE WHEN tms > hi THEN 'after_scope_end' END, CASE WHEN fam NOT IN ('masters', 'league') THEN 'event_not_approved_family' END, CASE WHEN won IS NULL THEN 'winner_unknown' END,
-  CASE WHEN NOT CASE fmt WHEN 'bo1' THEN wins = 1 WHEN 'bo3' THEN wins = 2 WHEN 'bo5' THEN wins = 3 ELSE wins >= 1 END THEN 'invalid_series_result' END, CASE WHEN played < 1 THEN 'no_maps_played' END) AS reasons FROM y)
-SELECT contest_id, CASE WHEN side_a % 10 = 0 THEN 'team:' || side_a ELSE 't' || side_a END AS side_a, CASE WHEN won % 10 = 0 THEN 'team:' || won ELSE 't' || won END AS winner, tms AS ts_ms, CASE WHEN tms IS NULL THEN 'none' ELSE 'high' END AS ts_confidence, fmt AS series_format, unknown_legs, blank_legs,
+  CASE WHEN NOT CASE fmt WHEN 'bo1' THEN wins = 1 WHEN 'bo3' THEN wins = 2 WHEN 'bo5' THEN wins = 3 ELSE wins >= 1 END THEN 'invalid_series_result' END, CASE WHEN played < 1 THEN 'no_maps_played' END) AS reasons FROM y)"""
+_NORM_ROWS = """SELECT contest_id, CASE WHEN side_a % 10 = 0 THEN 'team:' || side_a ELSE 't' || side_a END AS side_a, CASE WHEN won % 10 = 0 THEN 'team:' || won ELSE 't' || won END AS winner, tms AS ts_ms, CASE WHEN tms IS NULL THEN 'none' ELSE 'high' END AS ts_confidence, fmt AS series_format, unknown_legs, blank_legs,
   concat_ws(',', CASE WHEN side_a % 10 = 0 THEN 'missing_team_mapping' END, CASE WHEN side_b % 10 = 0 THEN 'missing_team_mapping' END, CASE WHEN contest_id % 7 = 0 THEN 'missing_series_format' END, CASE WHEN contest_id % 6 = 5 THEN 'missing_timestamp' WHEN tms IS NULL THEN 'ambiguous_timezone' END,
   CASE WHEN fam = 'unknown' THEN 'unknown_event_classification' WHEN fam = 'excluded-showmatch' THEN 'excluded_event_category' END, CASE WHEN tms < lo OR tms > hi THEN 'outside_date_scope' END, CASE WHEN contest_id % 17 = 0 THEN 'duplicate_match' END, CASE WHEN status <> 'completed' THEN 'not_completed' END,
   CASE WHEN status = 'completed' AND won IS NULL THEN 'inconsistent_winner' END, CASE WHEN status = 'completed' AND (contest_id % 5 = 0 OR ra < 5 OR rb < 5) THEN 'incomplete_roster' END, CASE WHEN reasons <> '' THEN 'not_training_eligible' END) AS flags,
   (CASE WHEN fam IN ('unknown', 'excluded-showmatch') THEN 1 ELSE 0 END) + (CASE WHEN reasons <> '' THEN 1 ELSE 0 END) AS critical_flags, reasons, reasons = '' AS eligible FROM z"""
 
 
-@query("normalize_contests", _NORMALISED)
-def q_normalize(spark, sf_dir):
-    """The whole job over raw contests: identities, times, formats, legs, flags and reasons against training."""
+def _normalised(spark, sf_dir):
+    """Normalised contests and the events they belong to."""
     raw = _raw_contests(spark, sf_dir)
     team = F.col("s_suppkey")
     teams = table(spark, sf_dir, "supplier").where(team % 10 != 0).select(team.alias("team"), F.concat(F.lit("t"), team).alias("internal_id"))
@@ -95,7 +95,13 @@ def q_normalize(spark, sf_dir):
         family = F.when(F.col("segment") == k, v).otherwise(family)
     raw = raw.withColumn("event_id", F.concat_ws("|", "event_id", "segment"))  # here an event has one family
     events = raw.select("event_id", family.alias("family")).distinct()
-    n = N.normalize_contests(raw, teams, events, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD"], "1993-01-01", "1997-12-31", ["masters", "league"])
+    return N.normalize_contests(raw, teams, events, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD"], "1993-01-01", "1997-12-31", ["masters", "league"]), events
+
+
+@query("normalize_contests", _NORMALISED + _NORM_ROWS)
+def q_normalize(spark, sf_dir):
+    """The whole job over raw contests: identities, times, formats, legs, flags and reasons against training."""
+    n, _ = _normalised(spark, sf_dir)
     of = lambda code: F.size(F.filter("legs", lambda x: F.array_contains(x["flags"], code))).cast("long")
     return n.select(
         "contest_id", "side_a", "winner", F.unix_millis("ts").alias("ts_ms"), "ts_confidence", "series_format", of("unknown_map").alias("unknown_legs"), of("missing_map_score").alias("blank_legs"),
@@ -103,6 +109,29 @@ def q_normalize(spark, sf_dir):
     )
 
 
+_TAGS = """SELECT 'total' AS section, unnest(['normalized', 'eligible', 'ineligible', 'missing_team_mappings', 'ambiguous_timestamps', 'missing_series_format', 'missing_winner', 'missing_legs', 'unknown_legs', 'incomplete_rosters', 'forfeits', 'percent_eligible', 'discovered_contests', 'duplicate_links', 'network_failures', 'parse_failures']) AS name,
+  unnest([count(*)::DOUBLE, count(*) FILTER (WHERE reasons = ''), count(*) FILTER (WHERE reasons <> ''), count(*) FILTER (WHERE side_a % 10 = 0 OR side_b % 10 = 0), count(*) FILTER (WHERE tms IS NULL), count(*) FILTER (WHERE contest_id % 7 = 0), count(*) FILTER (WHERE status = 'completed' AND won IS NULL),
+    count(*) FILTER (WHERE n IS NULL), count(*) FILTER (WHERE unknown_legs > 0), count(*) FILTER (WHERE status = 'completed' AND (contest_id % 5 = 0 OR ra < 5 OR rb < 5)), count(*) FILTER (WHERE status = 'completed' AND reasons LIKE '%invalid_series_result%'), floor(count(*) FILTER (WHERE reasons = '') / count(*)::DOUBLE * 1000 + 0.5) / 10,
+    (SELECT count(*) FROM orders), 12, (SELECT count(*) FROM orders WHERE o_orderkey % 101 < 2), (SELECT count(*) FROM orders WHERE o_orderkey % 101 = 2)]) AS value FROM z LEFT JOIN (SELECT contest_id, count(*) AS n FROM legs GROUP BY 1) USING (contest_id)
+UNION ALL SELECT 'year', CAST(year(epoch_ms(tms)) AS VARCHAR), count(*) FROM z WHERE tms IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'family', f, count(fam) FROM (VALUES ('masters'), ('league'), ('challengers'), ('unknown'), ('excluded-showmatch')) t(f) LEFT JOIN z ON fam = f GROUP BY 2
+UNION ALL SELECT 'format', f, count(z.fmt) FROM (VALUES ('bo1'), ('bo3'), ('bo5'), ('unknown')) t(f) LEFT JOIN z ON z.fmt = f GROUP BY 2
+UNION ALL SELECT 'leg', CASE WHEN recognized THEN name ELSE ' ' || lower(name) END, count(*) FROM legs GROUP BY 2
+UNION ALL SELECT 'team', 't' || t, count(*) FROM (SELECT side_a AS t FROM z UNION ALL SELECT side_b FROM z) WHERE t % 10 <> 0 GROUP BY 2
+UNION ALL SELECT 'total', k, count(e) FROM (VALUES ('included_events', 'masters,league'), ('excluded_events', 'excluded-showmatch'), ('unknown_events', 'unknown'), ('discovered_events', 'masters,league,excluded-showmatch,unknown')) v(k, fams) LEFT JOIN (SELECT DISTINCT event_id || '|' || family AS e, fam FROM z) ON list_contains(string_split(fams, ','), fam) GROUP BY 2"""
+
+
+@query("quality_report", _NORMALISED + _TAGS)
+def q_report(spark, sf_dir):
+    """What the normalisation run has found and what its records lack."""
+    n, events = _normalised(spark, sf_dir)
+    inclusion = F.when(F.col("family").isin("masters", "league"), "included").when(F.col("family") == "unknown", "unknown").otherwise(F.concat(F.lit("excluded:"), F.col("family")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contest_id"))
+    k = F.col("contest_id") % 101
+    failures = o.where(k < 4).select(F.when(k == 0, "timeout").when(k == 1, "fetch_failed").when(k == 2, "parse_failure").otherwise("other").alias("error_code"))
+    return Q.quality_report(n, events.select("event_id", inclusion.alias("inclusion")), o, failures, ["masters", "league", "challengers", "unknown", "excluded-showmatch"], ["bo1", "bo3", "bo5", "unknown"], 12)
+
+
 @query("normalize_legs", "SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') THEN p_type ELSE lower(p_type) || ' ' END AS name, p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') AS recognized, p_partkey % 7 = 0 AS placeholder FROM part")
 def q_leg_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -151,6 +180,24 @@ def q_inclusion(spark, sf_dir):
     return N.event_inclusion(_classified(spark, sf_dir), ["masters", "league"], ["showmatch"], "1994-06-01", "1995-06-01").select("event_id", "inclusion")
 
 
+@query("prerun_report", _CLS + """, i AS (SELECT event_id, class, sd, CASE WHEN class = 'unknown' THEN 'unknown' WHEN class = 'showmatch' THEN 'showmatch' WHEN class NOT IN ('masters', 'league', 'champions') THEN 'outside-families' WHEN ed < DATE '1994-06-01' OR sd > DATE '1995-06-01' THEN 'outside-scope' ELSE 'included' END AS inc FROM e),
+inc AS (SELECT f AS name, count(event_id)::DOUBLE AS value FROM (VALUES ('masters'), ('league'), ('champions')) t(f) LEFT JOIN i ON class = f AND inc = 'included' GROUP BY 1)
+SELECT 'included' AS section, name, value FROM inc
+UNION ALL SELECT 'excluded', inc, count(*) FROM i WHERE inc NOT IN ('included', 'unknown') GROUP BY 2
+UNION ALL SELECT 'total', unnest(['candidate_events', 'unknown_events', 'links', 'completed', 'non_completed', 'failed_discoveries', 'duplicate_links']), unnest([(SELECT count(*) FROM i), (SELECT count(*) FROM i WHERE inc = 'unknown'), count(*), count(*) FILTER (WHERE o_orderstatus = 'F'), count(*) FILTER (WHERE o_orderstatus <> 'F'), (SELECT count(*) FROM i WHERE event_id % 9 = 4), 1000000]) FROM orders
+UNION ALL SELECT 'anomaly', 'no-events:' || name, 0 FROM inc WHERE value = 0
+UNION ALL SELECT 'anomaly', 'expected-family-missing:' || name, 0 FROM inc WHERE value = 0 AND name IN ('masters', 'champions')
+UNION ALL SELECT 'anomaly', 'duplicate-links-exceed-links', 1000000 FROM (SELECT count(*) AS n FROM orders) WHERE n > 0 AND n < 1000000
+UNION ALL SELECT 'anomaly', 'unknown-events-exceed-half', count(*) FILTER (WHERE inc = 'unknown') FROM i HAVING count(*) FILTER (WHERE inc = 'unknown') > count(*) / 2.0
+UNION ALL SELECT 'anomaly', 'failed-discoveries', count(*) FROM i WHERE event_id % 9 = 4 HAVING count(*) > 0
+UNION ALL SELECT 'anomaly', 'starts-before-scope:' || event_id, 1 FROM i WHERE sd < DATE '1994-06-01'""")
+def q_prerun(spark, sf_dir):
+    """What a run over the classified events would read, and its anomalies; a million duplicate links are given as found."""
+    e = N.event_inclusion(_classified(spark, sf_dir), ["masters", "league", "champions"], ["showmatch"], "1994-06-01", "1995-06-01")
+    listed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contest_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("live").alias("listed_status"))
+    return Q.prerun_report(e, listed, e.where("event_id % 9 = 4"), ["masters", "league", "champions"], "1994-06-01", duplicate_links=1_000_000)
+
+
 @query("contest_flags", SQL + """, n AS (SELECT contest_id, bool_or(NOT recognized) AS u, bool_or(qa = qb) AS t FROM legs GROUP BY 1),
 r AS (SELECT l_orderkey AS contest_id, count(DISTINCT l_partkey) FILTER (WHERE r = 1) AS a, count(DISTINCT l_partkey) FILTER (WHERE r = 2) AS b FROM sl GROUP BY 1)
 SELECT c.contest_id, concat_ws(',', CASE WHEN winner IS NULL THEN 'winner-missing' END, CASE WHEN u THEN 'unknown-leg' END, CASE WHEN t THEN 'tied-leg' END, CASE WHEN series_format = 'unknown' THEN 'format-unknown' END, CASE WHEN a < 5 THEN 'roster-a-incomplete' END, CASE WHEN b < 5 THEN 'roster-b-incomplete' END) AS flags, winner IS NOT NULL AS eligible

@@ -115,8 +115,8 @@ def q_contest_audit(spark, sf_dir):
     return c.agg(F.count(F.lit(1)).alias("contests"), F.count_if(F.col("winner").isNull()).alias("without_winner"), F.count_if(F.exists("legs", lambda x: ~x["recognized"])).alias("with_unknown_leg"), F.count_if(F.col("series_format") == "unknown").alias("unknown_format"), F.sum(F.size("legs")).alias("legs"))
 
 
-@query("quality_report", SQL + "SELECT year(ts) AS season_year, family, series_format, grouping(ts_y) * 0 + count(*) AS n, count(winner) AS eligible FROM (SELECT *, year(ts) AS ts_y FROM c) GROUP BY GROUPING SETS ((year(ts), ts_y), (family), (series_format))".replace("grouping(ts_y) * 0 + ", "").replace("(year(ts), ts_y)", "(year(ts))"))
-def q_report(spark, sf_dir):
+@query("contest_counts", SQL + "SELECT year(ts) AS season_year, family, series_format, count(*) AS n, count(winner) AS eligible FROM c GROUP BY GROUPING SETS ((year(ts)), (family), (series_format))")
+def q_counts(spark, sf_dir):
     """Counts by year, by family and by format in one pass over the contests."""
     c = contests(spark, sf_dir).withColumn("season_year", F.year("ts").cast("long"))
     return c.groupingSets([[F.col("season_year")], [F.col("family")], [F.col("series_format")]], "season_year", "family", "series_format").agg(F.count(F.lit(1)).alias("n"), F.count("winner").alias("eligible"))
