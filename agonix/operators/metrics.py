@@ -95,21 +95,39 @@ def metric_bundle(pred: DataFrame, by: list[str]) -> DataFrame:
 
 def error_segments(pred: DataFrame, tags: dict[str, object]) -> DataFrame:
     """Errors by segment; ``tags`` maps a segment's name to the condition that puts a row in it. Rows are tagged once and
-    exploded by tag, so one shuffle of partial counts serves all segments."""
+    exploded by tag, so one shuffle of partial counts serves all segments; a segment without rows is there with 0."""
     t = pred.withColumn("segment", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tags.items()]))))
     wrong = (F.col("p") >= 0.5) != (F.col("y") == 1)
     loss = -(F.col("y") * F.ln(_clip()) + (1 - F.col("y")) * F.ln(1 - _clip()))
-    return t.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"), F.avg(wrong.cast("double")).alias("error_rate"), F.avg(loss).alias("log_loss"), F.count_if((F.col("p") <= 0.05) | (F.col("p") >= 0.95)).alias("extremes"))
+    g = t.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"), F.avg(wrong.cast("double")).alias("error_rate"), F.avg(loss).alias("log_loss"), F.count_if((F.col("p") <= 0.05) | (F.col("p") >= 0.95)).alias("extremes"))
+    every = pred.sparkSession.createDataFrame([(n,) for n in tags], "segment string")
+    zero = F.lit(0)
+    return F.broadcast(every).join(g, "segment", "left").select("segment", *[F.coalesce(c, zero).alias(c) for c in ("n", "errors")], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("error_rate", "log_loss")], F.coalesce("extremes", zero).alias("extremes"))
+
+
+#: Days of rest that count as an imbalance, a difference of probabilities that counts as disagreement.
+REST_GAP, DISAGREEMENT = 7, 0.3
+
+
+def segments_of(pred: DataFrame, levels: list[str], formats: list[str]) -> dict[str, object]:
+    """The segments of the error analysis. pred: y, cold, level, series_format, rest_difference_days, roster_missing."""
+    tags = {"cold-start": F.col("cold"), "established": ~F.col("cold"), "a-won": F.col("y") == 1, "b-won": F.col("y") == 0, "roster-incomplete": F.col("roster_missing"), "rest-gap": F.abs("rest_difference_days") >= REST_GAP}
+    return tags | {f"level:{v}": F.col("level") == v for v in levels} | {f"format:{v}": F.col("series_format") == v for v in formats}
 
 
 def error_extremes(pred: DataFrame, n: int = 10) -> DataFrame:
-    """The n most confident wrong and the n least confident right predictions."""
+    """The n most confident wrong and the n least confident right predictions, and, if ``pred`` has elo_p, the n that differ most
+    from the rating's, by at least DISAGREEMENT. ``confidence`` is the distance from 0.5, or from the rating's probability."""
     sure = F.abs(F.col("p") - 0.5)
     right = (F.col("p") >= 0.5) == (F.col("y") == 1)
-    p = pred.select("contest_id", "p", "y", sure.alias("confidence"), right.alias("right"))
-    worst = p.where("not right").orderBy(F.desc("confidence"), "contest_id").limit(n).withColumn("kind", F.lit("confident-wrong"))
-    weakest = p.where("right").orderBy("confidence", "contest_id").limit(n).withColumn("kind", F.lit("unsure-right"))
-    return worst.unionByName(weakest).drop("right")
+    p = pred.withColumns({"confidence": sure, "right": right})
+    keep = ["contest_id", "p", "y", "confidence"]
+    worst = p.where("not right").select(*keep).orderBy(F.desc("confidence"), "contest_id").limit(n).withColumn("kind", F.lit("confident-wrong"))
+    out = worst.unionByName(p.where("right").select(*keep).orderBy("confidence", "contest_id").limit(n).withColumn("kind", F.lit("unsure-right")))
+    if "elo_p" in pred.columns:
+        far = p.withColumn("confidence", F.round(F.abs(F.col("p") - F.col("elo_p")), 12)).where(F.col("confidence") >= DISAGREEMENT)
+        out = out.unionByName(far.select(*keep).orderBy(F.desc("confidence"), "contest_id").limit(n).withColumn("kind", F.lit("rating-disagreement")))
+    return out
 
 
 def bootstrap(pred: DataFrame, iterations: int = 2000, seed: int = 1) -> DataFrame:

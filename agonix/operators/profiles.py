@@ -206,17 +206,41 @@ def power_rankings(teams: DataFrame, state: DataFrame) -> DataFrame:
     return _ranked(t, [F.desc("score"), F.desc("base"), F.asc("team")]).select("team", "region", "score", "rank", "region_rank", "confidence", F.coalesce("contests", F.lit(0)).alias("contests"), *[f"t_{k}" for k in [*TERMS, "penalty"]])
 
 
-def catalog(c: DataFrame, family: str | None = None, team: int | None = None, limit: int = 50) -> DataFrame:
-    """Newest first, then id; with the total count of what matches. Filters reach the scan, the limit is a top-k."""
+def catalog(c: DataFrame, family: str | None = None, team: int | None = None, after: str | None = None, before: str | None = None, limit: int = 50, most: int = 200) -> DataFrame:
+    """Newest first, then id, at most min(limit, most) rows; with the total count of what matches. ``after`` and ``before`` are
+    inclusive times without a zone. Filters reach the scan, the limit is a top-k."""
+    if limit < 1:
+        raise ValueError("limit must be a positive number")
     if family is not None:
         c = c.where(F.col("family") == family)
     if team is not None:
         c = c.where((F.col("side_a") == team) | (F.col("side_b") == team))
+    if after is not None:
+        c = c.where(F.col("ts") >= F.lit(after).cast("timestamp_ntz"))
+    if before is not None:
+        c = c.where(F.col("ts") <= F.lit(before).cast("timestamp_ntz"))
     total = c.agg(F.count(F.lit(1)).alias("total"))
-    top = c.orderBy(F.desc("ts_ms"), "contest_id").limit(limit)
+    top = c.orderBy(F.desc("ts_ms"), "contest_id").limit(min(limit, most))
     return top.join(F.broadcast(total))
 
 
+#: How the legs of a pair can be ranked; names settle ties.
+LEG_ORDERS = {"largest-gap": ("magnitude", True), "closest": ("magnitude", False), "name": None, "a-strength": ("rate_a", True), "b-strength": ("rate_b", True)}
+
+
+def rank_legs(legs: DataFrame, selected: list[str], mode: str = "largest-gap", active: str | None = None) -> DataFrame:
+    """The legs of each pair in one of LEG_ORDERS: ``place``, whether it is ``selected`` (which never changes the order), and
+    the ``active`` one: the one asked for if the pair has it, else the first.
+
+    legs: team_a, team_b, name, rate_a, rate_b."""
+    x = legs.withColumn("magnitude", F.round(F.abs(F.col("rate_a") - F.col("rate_b")), 1))
+    key = LEG_ORDERS[mode]
+    order = [*([F.desc(key[0]) if key[1] else F.asc(key[0])] if key else []), F.asc("name")]
+    pair = Window.partitionBy("team_a", "team_b")
+    x = x.withColumns({"place": F.row_number().over(pair.orderBy(*order)), "selected": F.col("name").isin(selected), "_has": F.max((F.col("name") == F.lit(active)).cast("int")).over(pair)})
+    return x.withColumn("active", F.when(F.coalesce("_has", F.lit(0)) == 1, F.col("name") == F.lit(active)).otherwise(F.col("place") == 1)).drop("_has")
+
+
 def validate_history(h: DataFrame, known: DataFrame, legs: list[str], now_ms: int, low: float = 13, high: float = 80) -> DataFrame:
     """Records with all their reasons; among valid ones the first of an id stays, later ones are duplicates."""
     k = known.select(F.col("team").alias("_t"))

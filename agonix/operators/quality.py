@@ -216,3 +216,48 @@ def prerun_report(events: DataFrame, discovered: DataFrame, failed: DataFrame, a
     odd += [("no-links", 0.0)] * (not total("links")) + [("duplicate-links-exceed-links", total("duplicate_links"))] * (0 < total("links") < total("duplicate_links"))
     odd += [("unknown-events-exceed-half", total("unknown_events"))] * (total("unknown_events") > total("candidate_events") / 2) + [("failed-discoveries", total("failed_discoveries"))] * bool(total("failed_discoveries"))
     return out.unionByName(spark.createDataFrame([("anomaly", n, x) for n, x in odd], "section string, name string, value double"))
+
+
+#: The signals a feature table could use, in order: group, what covers them, of what, risk of leakage, whether
+#: they are used. n: contests; events; legs: played legs; none: nothing that was known before a contest records them.
+SIGNALS = {
+    "team-record": ("team-history", "n", "n", "none", True),
+    "recent-form": ("team-history", "n", "n", "none", True),
+    "region-history": ("team-history", "region", "events", "none", True),
+    "opponent-strength": ("team-history", "n", "n", "mitigated", True),
+    "leg-history": ("map-history", "legs", "legs", "none", True),
+    "attack-defense": ("map-history", "split", "legs", "none", True),
+    "unknown-legs": ("map-history", "unknown", "legs", "none", True),
+    "leg-selection": ("map-history", "none", "n", "high", False),
+    "roster-continuity": ("roster-player", "both", "n", "none", True),
+    "player-levels": ("roster-player", "any", "n", "none", True),
+    "player-handles": ("roster-player", "none", "n", "none", False),
+    "head-to-head": ("head-to-head", "n", "n", "none", True),
+    "rest": ("schedule-rest", "n", "n", "none", True),
+    "event-context": ("event-context", "n", "n", "none", True),
+    "patch-version": ("event-context", "none", "n", "none", False),
+    "home-region": ("event-context", "none", "n", "none", False),
+}
+
+
+def signal_coverage(c: DataFrame, events: DataFrame) -> DataFrame:
+    """Per signal: how much of it is recorded, of what total, the missing share, the earliest time it can be used, whether it was
+    known before a contest, its risk of leakage, and whether the feature table uses it. One aggregation over contests, one
+    over events. c: ts, legs, roster_a, roster_b; events: event_id, region."""
+    has = lambda n: F.coalesce(F.size(n) > 0, F.lit(False))
+    legs = lambda f: F.coalesce(F.sum(F.size(F.filter("legs", f))), F.lit(0)).cast("long")
+    played = lambda x: x["score_a"].isNotNull() & x["score_b"].isNotNull()
+    one = c.agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), legs(played).alias("legs"), legs(lambda x: played(x) & x["attack_a"].isNotNull() & x["defense_a"].isNotNull()).alias("split"), legs(lambda x: played(x) & ~x["recognized"]).alias("unknown"),
+        F.count_if(has("roster_a") & has("roster_b")).alias("both"), F.count_if(has("roster_a") | has("roster_b")).alias("any"),
+    )
+    two = events.agg(F.count_distinct("event_id").alias("events"), F.count_distinct(F.when(F.col("region").isNotNull(), F.col("event_id"))).alias("region"))
+    t = one.join(F.broadcast(two)).withColumn("none", F.lit(0).cast("long"))  # one row each
+
+    def row(name: str):
+        group, covered, total, leakage, included = SIGNALS[name]
+        missing = F.lit(0.0) if name == "unknown-legs" else F.coalesce(1 - F.try_divide(F.col(covered).cast("double"), F.col(total).cast("double")), F.lit(1.0 if name == "attack-defense" else 0.0))
+        early = F.col("first") if covered != "none" else F.lit(None).cast("timestamp_ntz")
+        return F.struct(F.lit(name).alias("signal"), F.lit(group).alias("signal_group"), F.col(covered).alias("covered"), F.col(total).alias("total"), missing.alias("missing_rate"), early.alias("earliest"), F.lit(covered != "none").alias("known_before"), F.lit(leakage).alias("leakage"), F.lit(included).alias("included"))
+
+    return t.select(F.explode(F.array(*[row(n) for n in SIGNALS])).alias("x")).select("x.*")

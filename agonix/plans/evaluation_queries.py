@@ -11,6 +11,7 @@ from agonix.operators import splits as S
 from agonix.sources.contests import SQL, accepted, contests
 
 from .base import query
+from .feature_queries import FEATURE_SQL
 
 
 def predictions(spark, sf_dir):
@@ -117,19 +118,33 @@ def q_bundle(spark, sf_dir):
     return _r(M.metric_bundle(predictions(spark, sf_dir), ["family"]), "log_loss", "brier", "auc", *_CLS)
 
 
-@query("error_segments", PRED + f""", t AS (
-  SELECT *, 'cold-start' AS segment FROM pred WHERE cold UNION ALL SELECT *, 'level:' || level FROM pred UNION ALL SELECT *, 'format:' || series_format FROM pred UNION ALL SELECT *, 'favours-a' FROM pred WHERE p >= 0.5)
-SELECT segment, count(*) AS n, count(*) FILTER (WHERE (p >= 0.5) <> (y = 1)) AS errors, round(avg(CASE WHEN (p >= 0.5) <> (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 9) AS error_rate, round(avg({_LOSS}), 9) AS log_loss, count(*) FILTER (WHERE p <= 0.05 OR p >= 0.95) AS extremes FROM t GROUP BY 1""")
+#: Predictions with what the error analysis looks at; elo_p is a rating without history (the win rates' difference on the
+#: rating's scale), so that plain SQL has the same.
+_ANALYSED = FEATURE_SQL + """, pa AS (SELECT contest_id, round(greatest(0.05, least(0.95, 0.5 + (a_win_rate - b_win_rate) / 2)), 4) AS p, a_won AS y, a_is_cold_start OR b_is_cold_start AS cold, level, series_format, rest_difference_days,
+  1 / (1 + pow(10, -(a_last3_win_rate - b_last3_win_rate))) AS elo_p FROM features)"""
+
+
+def _analysed(spark, sf_dir):
+    f = X.assemble(contests(spark, sf_dir))
+    p = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.95), 0.5 + (F.col("a_win_rate") - F.col("b_win_rate")) / 2)), 4)
+    elo = 1 / (1 + F.pow(F.lit(10.0), -(F.col("a_last3_win_rate") - F.col("b_last3_win_rate"))))
+    return f.select("contest_id", p.alias("p"), F.col("a_won").cast("int").alias("y"), (F.col("a_is_cold_start") | F.col("b_is_cold_start")).alias("cold"), "level", "series_format", "rest_difference_days", F.lit(False).alias("roster_missing"), elo.alias("elo_p"))
+
+
+_SEGMENTS = {"cold-start": "cold", "established": "NOT cold", "a-won": "y = 1", "b-won": "y = 0", "roster-incomplete": "false", "rest-gap": "abs(rest_difference_days) >= 7", **{f"level:{v}": f"level = '{v}'" for v in ("international", "league")}, **{f"format:{v}": f"series_format = '{v}'" for v in ("bo1", "bo3", "bo5", "unknown")}}
+
+
+@query("error_segments", _ANALYSED + " UNION ALL ".join(f"SELECT '{k}' AS segment, count(*) AS n, count(*) FILTER (WHERE (p >= 0.5) <> (y = 1)) AS errors, coalesce(round(avg(CASE WHEN (p >= 0.5) <> (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 9), 0) AS error_rate, coalesce(round(avg({_LOSS}), 9), 0) AS log_loss, count(*) FILTER (WHERE p <= 0.05 OR p >= 0.95) AS extremes FROM pa WHERE {c}" for k, c in _SEGMENTS.items()))
 def q_seg(spark, sf_dir):
-    tags = {"cold-start": F.col("cold"), "favours-a": F.col("p") >= 0.5}
-    tags |= {f"level:{v}": F.col("level") == v for v in ("international", "league")} | {f"format:{v}": F.col("series_format") == v for v in ("bo1", "bo3", "bo5", "unknown")}
-    return _r(M.error_segments(predictions(spark, sf_dir), tags), "error_rate", "log_loss")
+    p = _analysed(spark, sf_dir)
+    return _r(M.error_segments(p, M.segments_of(p, ["international", "league"], ["bo1", "bo3", "bo5", "unknown"])), "error_rate", "log_loss")
 
 
-@query("error_extremes", PRED + """, e AS (SELECT contest_id, p, y, abs(p - 0.5) AS confidence, (p >= 0.5) = (y = 1) AS ok FROM pred)
-(SELECT contest_id, p, y, round(confidence, 9) AS confidence, 'confident-wrong' AS kind FROM e WHERE NOT ok ORDER BY e.confidence DESC, contest_id LIMIT 10) UNION ALL (SELECT contest_id, p, y, round(confidence, 9), 'unsure-right' FROM e WHERE ok ORDER BY e.confidence, contest_id LIMIT 10)""")
+@query("error_extremes", _ANALYSED + """, e AS (SELECT contest_id, p, y, abs(p - 0.5) AS confidence, (p >= 0.5) = (y = 1) AS ok, round(abs(p - elo_p), 12) AS gap FROM pa)
+(SELECT contest_id, p, y, round(confidence, 9) AS confidence, 'confident-wrong' AS kind FROM e WHERE NOT ok ORDER BY e.confidence DESC, contest_id LIMIT 10) UNION ALL (SELECT contest_id, p, y, round(confidence, 9), 'unsure-right' FROM e WHERE ok ORDER BY e.confidence, contest_id LIMIT 10)
+UNION ALL (SELECT contest_id, p, y, round(gap, 9), 'rating-disagreement' FROM e WHERE gap >= 0.3 ORDER BY gap DESC, contest_id LIMIT 10)""")
 def q_extremes(spark, sf_dir):
-    return _r(M.error_extremes(predictions(spark, sf_dir)), "confidence")
+    return _r(M.error_extremes(_analysed(spark, sf_dir)), "confidence")
 
 
 @query("bootstrap_intervals")

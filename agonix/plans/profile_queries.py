@@ -199,6 +199,29 @@ def q_catalog(spark, sf_dir):
     return P.catalog(accepted(contests(spark, sf_dir)), family="BUILDING").select("contest_id", "ts", "side_a", "side_b", "family", "total")
 
 
+@query("catalog_between", SQL + "SELECT contest_id, ts, side_a, side_b, family, (SELECT count(*) FROM acc WHERE (side_a = 3 OR side_b = 3) AND ts >= TIMESTAMP '1993-06-01' AND ts <= TIMESTAMP '1996-06-01') AS total FROM acc WHERE (side_a = 3 OR side_b = 3) AND ts >= TIMESTAMP '1993-06-01' AND ts <= TIMESTAMP '1996-06-01' ORDER BY ts DESC, contest_id LIMIT 200")
+def q_catalog_between(spark, sf_dir):
+    """Contests of one team on either side within bounds that count; the limit asked for is above the largest one."""
+    return P.catalog(accepted(contests(spark, sf_dir)), team=3, after="1993-06-01 00:00:00", before="1996-06-01 00:00:00", limit=10_000).select("contest_id", "ts", "side_a", "side_b", "family", "total")
+
+
+@query("ranked_legs", HIST + """, j AS (SELECT team_a, team_b, a.name, 100 * a.rate AS rate_a, 100 * b.rate AS rate_b FROM pairs JOIN per a ON a.team = team_a JOIN per b ON b.team = team_b AND b.name = a.name),
+m AS (SELECT * FROM (VALUES ('largest-gap'), ('closest'), ('name'), ('a-strength'), ('b-strength')) t(mode)),
+k AS (SELECT *, round(abs(rate_a - rate_b), 1) AS magnitude FROM j),
+r AS (SELECT mode, k.*, row_number() OVER (PARTITION BY mode, team_a, team_b ORDER BY CASE mode WHEN 'largest-gap' THEN -magnitude WHEN 'closest' THEN magnitude WHEN 'a-strength' THEN -rate_a WHEN 'b-strength' THEN -rate_b ELSE 0 END, name) AS place FROM k, m)
+SELECT mode, team_a, team_b, name, place, name IN ('LARGE', 'SMALL') AS selected, CASE WHEN max(name = 'PROMO') OVER (PARTITION BY mode, team_a, team_b) THEN name = 'PROMO' ELSE place = 1 END AS active FROM r""")
+def q_ranked_legs(spark, sf_dir):
+    """All five orders of the legs that both teams of a pair have played."""
+    per = _history(spark, sf_dir).groupBy("team", "name").agg((100 * F.avg(F.col("won").cast("double"))).alias("rate"))
+    side = lambda s: per.select(F.col("team").alias(f"team_{s}"), "name", F.col("rate").alias(f"rate_{s}"))
+    legs = _pairs(spark, sf_dir).join(side("a"), "team_a").join(side("b"), ["team_b", "name"])
+    out = None
+    for mode in P.LEG_ORDERS:
+        r = P.rank_legs(legs, ["LARGE", "SMALL"], mode, "PROMO").select(F.lit(mode).alias("mode"), "team_a", "team_b", "name", "place", "selected", "active")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @query("leg_ranking", HIST + "SELECT team, name, n, round(rate, 8) AS rate, row_number() OVER (PARTITION BY team ORDER BY rate DESC, name) AS place FROM per")
 def q_leg_rank(spark, sf_dir):
     from pyspark.sql import Window

@@ -122,13 +122,25 @@ def q_counts(spark, sf_dir):
     return c.groupingSets([[F.col("season_year")], [F.col("family")], [F.col("series_format")]], "season_year", "family", "series_format").agg(F.count(F.lit(1)).alias("n"), F.count("winner").alias("eligible"))
 
 
-@query("feature_coverage", SQL + ", n AS (SELECT contest_id, count(*) AS n, bool_or(sp) AS sp FROM legs GROUP BY 1), t AS (SELECT c.*, n, sp FROM c LEFT JOIN n USING (contest_id)) " + " UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) FILTER (WHERE {v}) AS covered, count(*) AS total, min(ts) FILTER (WHERE {v}) AS earliest FROM t" for k, v in (("winner", "winner IS NOT NULL"), ("legs", "n > 0"), ("split", "sp"), ("known-format", "series_format <> 'unknown'"))))
+def _signal_sql():
+    cols = {"n": "n", "events": "ev", "legs": "lg", "region": "evr", "split": "lsp", "unknown": "lun", "both": "rb", "any": "ra", "none": "0"}
+    rows = []
+    for name, (group, covered, total, leakage, included) in Q.SIGNALS.items():
+        missing = f"CASE WHEN {cols[total]} > 0 THEN 1 - {cols[covered]} / {cols[total]}::DOUBLE ELSE {1 if name == 'attack-defense' else 0} END" if name != "unknown-legs" else "0"
+        rows.append(f"SELECT '{name}' AS signal, '{group}' AS signal_group, {cols[covered]} AS covered, {cols[total]} AS total, round({missing}, 9) AS missing_rate, {'NULL::TIMESTAMP' if covered == 'none' else 'mt'} AS earliest, {covered != 'none'} AS known_before, '{leakage}' AS leakage, {included} AS included FROM t")
+    return " UNION ALL ".join(rows)
+
+
+@query("feature_coverage", SQL + """, rc AS (SELECT contest_id, count(*) FILTER (WHERE k <= 3) AS ka FROM sl JOIN c ON contest_id = l_orderkey GROUP BY 1),
+t AS (SELECT (SELECT count(*) FROM c) AS n, (SELECT min(ts) FROM c) AS mt, (SELECT count(DISTINCT event_id) FROM c) AS ev, (SELECT count(DISTINCT event_id) FROM c WHERE region <> 'ASIA') AS evr, (SELECT count(*) FROM legs) AS lg, (SELECT count(*) FROM legs WHERE sp) AS lsp, (SELECT count(*) FROM legs WHERE NOT recognized) AS lun,
+  (SELECT count(*) FROM c WHERE contest_id % 5 <> 0 AND contest_id % 7 <> 0) AS rb, (SELECT count(*) FROM c WHERE contest_id % 5 <> 0) AS ra) """ + _signal_sql())
 def q_coverage(spark, sf_dir):
-    """Signals counted in one aggregation, then laid out as rows."""
-    signals = {"winner": F.col("winner").isNotNull(), "legs": F.size("legs") > 0, "split": F.exists("legs", lambda x: x["attack_a"].isNotNull()), "known-format": F.col("series_format") != "unknown"}
-    one = contests(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(v).alias(f"c_{k}") for k, v in signals.items()], *[F.min(F.when(v, F.col("ts"))).alias(f"e_{k}") for k, v in signals.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.col(f"`c_{k}`").alias("covered"), F.col("total"), F.col(f"`e_{k}`").alias("earliest")) for k in signals]))
-    return one.select(rows.alias("x")).select("x.*")
+    """All signals; every fifth contest has no roster, every seventh one at most, and one region is left out."""
+    c, k = contests(spark, sf_dir), F.col("contest_id")
+    roster = lambda s, gone: F.when(~gone, F.col(f"roster_{s}"))
+    c = c.withColumns({"roster_a": roster("a", k % 5 == 0), "roster_b": roster("b", (k % 5 == 0) | (k % 7 == 0))})
+    events = c.select("event_id", F.when(F.col("region") != "ASIA", F.col("region")).alias("region")).distinct()
+    return Q.signal_coverage(c, events).withColumn("missing_rate", F.round("missing_rate", 9))
 
 
 @query("canonical_window", SQL + "SELECT event_name, min(ts) AS start_ts, count(*) AS n FROM acc WHERE event_id = 3 GROUP BY 1")
