@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from agonix.operators import features as X
 from agonix.operators.asof import matchup_asof
-from agonix.sources.contests import SQL, accepted, contests
+from agonix.operators.evidence import contribution, evidence_trust, supporting_factors
+from agonix.sources.contests import SQL, accepted, contests, table
 
 from .base import query
 from .feature_queries import _DAYFORM, _FORM, _H2H, _RECORD, _REST, _REST_OUT
@@ -84,3 +85,48 @@ def q_asof_rating(spark, sf_dir):
     """The rating's columns; the tests hold them against a replay."""
     c = contests(spark, sf_dir)
     return matchup_asof(c, requests(c)).select("request_id", *[F.round(n, 6).alias(n) for n in ("elo_diff", "elo_p", *[f"{p}_{n}" for p in ("a", "b") for n in RATED])])
+
+
+_UNRATED = ["recent-form", "leg-pool-breadth", "activity-rest", "competition-experience"]
+_CONF = ASOF_SQL.replace("SELECT req.request_id, epoch_ms", ", m AS (SELECT req.request_id, epoch_ms", 1) + """),
+n AS (SELECT team, count(*) AS contests FROM s WHERE ts >= TIMESTAMP '1993-01-01' GROUP BY 1),
+k AS (SELECT s_suppkey AS team, coalesce(contests, 0) AS contests, CASE WHEN s_suppkey % 4 = 0 THEN 'provisional' WHEN s_suppkey % 9 = 0 THEN 'unrated' ELSE 'verified' END AS confidence FROM supplier LEFT JOIN n ON n.team = s_suppkey)
+"""
+
+
+def _confidence(spark, sf_dir, c):
+    """Contests of each team in the window, and how sure its identity is."""
+    n = X.sides(c).where(F.col("ts") >= F.lit("1993-01-01").cast("timestamp_ntz")).groupBy("team").agg(F.count(F.lit(1)).alias("contests"))
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("team")).join(n, "team", "left")
+    return t.select("team", F.coalesce("contests", F.lit(0)).alias("contests"), F.when(F.col("team") % 4 == 0, "provisional").when(F.col("team") % 9 == 0, "unrated").otherwise("verified").alias("confidence"))
+
+
+@query("matchup_evidence", _CONF + """, z AS (SELECT request_id, h2h_meetings AS meetings, coalesce(a.contests, 0) AS a_contests, coalesce(b.contests, 0) AS b_contests,
+  (CASE a.confidence WHEN 'verified' THEN 1 WHEN 'provisional' THEN 0.5 ELSE 0 END + least(1, coalesce(a.contests, 0) / 20.0::DOUBLE)) / 2 AS sa, (CASE b.confidence WHEN 'verified' THEN 1 WHEN 'provisional' THEN 0.5 ELSE 0 END + least(1, coalesce(b.contests, 0) / 20.0::DOUBLE)) / 2 AS sb
+  FROM m LEFT JOIN k a ON a.team = side_a LEFT JOIN k b ON b.team = side_b)
+SELECT request_id, CAST(floor(round(least(100, ((sa + sb) / 2 + least(1, meetings / 5.0::DOUBLE) * 0.1) * 100), 9) + 0.5) AS BIGINT) AS trust, CASE WHEN least(a_contests, b_contests) >= 10 THEN 'sufficient' WHEN least(a_contests, b_contests) >= 3 THEN 'limited' ELSE 'none' END AS leg_evidence, a_contests, b_contests, meetings FROM z""")
+def q_evidence(spark, sf_dir):
+    c = contests(spark, sf_dir)
+    return evidence_trust(matchup_asof(c, requests(c)), _confidence(spark, sf_dir, c))
+
+
+def _favours(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > {b} THEN 'A' WHEN {b} > {a} THEN 'B' ELSE 'even' END"
+
+
+@query("supporting_factors", _CONF + " UNION ALL ".join(f"SELECT request_id, '{n}' AS factor, {a}::DOUBLE AS a, {b}::DOUBLE AS b, {_favours(a, b)} AS favoured FROM m" for n, a, b in (("recent-form", "a_last10_win_rate", "b_last10_win_rate"), ("leg-pool-breadth", "a_leg_breadth", "b_leg_breadth"), ("competition-experience", "a_international_appearances + a_major_appearances", "b_international_appearances + b_major_appearances")))
+    + " UNION ALL SELECT request_id, 'activity-rest', coalesce(a_days_since_last, -1), coalesce(b_days_since_last, -1), CASE WHEN a_days_since_last IS NULL AND b_days_since_last IS NULL THEN 'even' WHEN a_days_since_last IS NULL THEN 'B' WHEN b_days_since_last IS NULL THEN 'A' WHEN a_days_since_last < b_days_since_last THEN 'A' WHEN b_days_since_last < a_days_since_last THEN 'B' ELSE 'even' END FROM m")
+def q_factors(spark, sf_dir):
+    """The factors that follow from no rating."""
+    c = contests(spark, sf_dir)
+    return supporting_factors(matchup_asof(c, requests(c)), _UNRATED)
+
+
+@query("driver_decomposition", _CONF + """, p AS (SELECT request_id, 400 * (a_win_rate - b_win_rate) AS d, round(0.5 + (a_win_rate - b_win_rate) / 2, 4) AS p FROM m)
+SELECT request_id, 'rating difference' AS driver, round(d, 9) AS differential, round(1 / (1 + pow(10, -d / 400)), 9) AS uncalibrated, round(p - 1 / (1 + pow(10, -d / 400)), 9) AS adjustment, p AS final, true AS sole_driver FROM p""")
+def q_driver(spark, sf_dir):
+    """With the win rates' difference as rating, which plain SQL has too."""
+    c = contests(spark, sf_dir)
+    gap = F.col("a_win_rate") - F.col("b_win_rate")
+    f = matchup_asof(c, requests(c)).select("request_id", (400 * gap).alias("elo_diff"), (1 / (1 + F.pow(F.lit(10.0), -400 * gap / 400))).alias("elo_p"), F.round(0.5 + gap / 2, 4).alias("p"))
+    return contribution(f, "elo").withColumns({n: F.round(n, 9) for n in ("differential", "uncalibrated", "adjustment")})
