@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from agonix.functions.shared import stored
 from agonix.functions.windows import DAY_MS, prior, rate, trailing_days, with_last_rows
 from agonix.sources.contests import KNOWN_LEGS, accepted
 
@@ -216,36 +217,57 @@ MORE_FEATURES = [
 H2H_FEATURES = ["h2h_meetings", "h2h_wins_a", "h2h_wins_b", "h2h_rate_a", "h2h_leg_diff", "h2h_last90d", "h2h_last180d", "h2h_last365d", "h2h_last_winner", "h2h_same_family", "h2h_same_region"]
 
 
-def assemble(c: DataFrame) -> DataFrame:
-    """The feature table: one row per accepted contest with both sides' blocks, head-to-head and event context. The two
-    side rows fold back with one aggregation on the contest; each block is a struct until then."""
-    s = rest(day_form(recent_form(record(sides(c)))))
-    block = F.struct(*SIDE_FEATURES)
-    folded = s.groupBy("contest_id").agg(F.max(F.when(F.col("side") == "A", block)).alias("a"), F.max(F.when(F.col("side") == "B", block)).alias("b"))
-    h = head_to_head(event_congestion(c)).select("contest_id", "ts", "ts_ms", "side_a", "side_b", "winner", "event_id", "family", "region", "stage", "level", "series_format", "event_contests_last3d", *H2H_FEATURES)
-    f = h.join(folded, "contest_id")
+#: Versions of the table's columns and of the rules that fill them; both go up when either changes.
+SCHEMA_VERSION, RULES_VERSION = "2", "2"
+
+
+def _fold(s: DataFrame, names: list[str]) -> DataFrame:
+    """contest_id, and the columns ``names`` of both sides as structs ``a`` and ``b``."""
+    block = F.struct(*names)
+    return s.groupBy("contest_id").agg(F.max(F.when(F.col("side") == "A", block)).alias("a"), F.max(F.when(F.col("side") == "B", block)).alias("b"))
+
+
+def _context(c: DataFrame) -> DataFrame:
+    """The contest's own columns, head-to-head and event congestion."""
+    return head_to_head(event_congestion(c)).select("contest_id", "ts", "ts_ms", "side_a", "side_b", "winner", "event_id", "family", "region", "stage", "level", "series_format", "event_contests_last3d", *H2H_FEATURES)
+
+
+def _columns(h: DataFrame) -> list:
     cols = [F.col(f"{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b") for n in SIDE_FEATURES]
-    return f.select(
+    return [
         *h.columns, *cols,
         (F.col("a.days_since_last") - F.col("b.days_since_last")).alias("rest_difference_days"),
         (F.col("a.leg_win_rate") - F.col("b.leg_win_rate")).alias("leg_strength_diff"),
         F.year("ts").cast("long").alias("season_year"), F.month("ts").cast("long").alias("contest_month"),
         (F.col("winner") == F.col("side_a")).cast("long").alias("a_won"),
-    )
+    ]
 
 
-def assemble_all(c: DataFrame) -> DataFrame:
+def assemble(c: DataFrame) -> DataFrame:
+    """The feature table: one row per accepted contest with both sides' blocks, head-to-head and event context. The two
+    side rows fold back with one aggregation on the contest; each block is a struct until then."""
+    h = _context(c)
+    folded = _fold(rest(day_form(recent_form(record(sides(c))))), SIDE_FEATURES)
+    return h.join(folded, "contest_id").select(*_columns(h))
+
+
+def assemble_all(c: DataFrame, dataset: str = "") -> DataFrame:
     """assemble() with rating, opponent strength, leg pool, rounds, roster continuity and player experience of both sides,
-    and the rating's difference and probability and the overlap of the leg pools."""
+    the rating's difference and probability, the overlap of the leg pools, and what the rows come from: the version of the
+    source (``dataset``), of the columns and of the rules.
+
+    The contests are a table first, as ratings, sides, players and context all read them. All features of a side are
+    computed on one table of sides, which folds back once."""
     from .rating import SCALE, elo, opponent_strength
 
-    s = opponent_strength(roster_continuity(rounds(leg_pool(record(sides(c))))), elo(c))
-    s = s.join(player_experience(sides(c)), ["contest_id", "side"], "left")
-    block = F.struct(*MORE_FEATURES, "legs_known")
-    folded = s.groupBy("contest_id").agg(F.max(F.when(F.col("side") == "A", block)).alias("_a"), F.max(F.when(F.col("side") == "B", block)).alias("_b"))
-    f = assemble(c)
-    cols = [F.col(f"_{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b") for n in MORE_FEATURES]
-    diff = F.col("_a.elo") - F.col("_b.elo")
-    return f.join(folded, "contest_id").select(
-        *f.columns, *cols, diff.alias("elo_diff"), (1 / (1 + F.pow(F.lit(10.0), -diff / SCALE))).alias("elo_p"), F.size(F.array_intersect("_a.legs_known", "_b.legs_known")).cast("long").alias("pool_overlap"),
+    c = stored(accepted(c), "contests")
+    s = rounds(leg_pool(rest(day_form(recent_form(record(sides(c)))))))
+    s = opponent_strength(roster_continuity(s), elo(c)).join(player_experience(sides(c)), ["contest_id", "side"], "left")
+    h = _context(c)
+    f = h.join(_fold(s, [*SIDE_FEATURES, *MORE_FEATURES, "legs_known"]), "contest_id")
+    more = [F.col(f"{p}.{n}").alias(f"{p}_{n}") for p in ("a", "b") for n in MORE_FEATURES]
+    diff = F.col("a.elo") - F.col("b.elo")
+    return f.select(
+        *_columns(h), *more, diff.alias("elo_diff"), (1 / (1 + F.pow(F.lit(10.0), -diff / SCALE))).alias("elo_p"), F.size(F.array_intersect("a.legs_known", "b.legs_known")).cast("long").alias("pool_overlap"),
+        F.lit(dataset).alias("source_dataset_version"), F.lit(SCHEMA_VERSION).alias("feature_schema_version"), F.lit(RULES_VERSION).alias("feature_rules_version"),
     )

@@ -204,7 +204,11 @@ def q_features(spark, sf_dir):
 @query("pre_contest_features_all")
 def q_features_all(spark, sf_dir):
     """The whole table. Ratings have no plain SQL; the tests hold its columns against a replay and the single queries."""
-    return X.assemble_all(contests(spark, sf_dir))
+    from agonix.operators.lifecycle import dataset_version
+
+    c = contests(spark, sf_dir)
+    source = dataset_version(c.drop("legs", "roster_a", "roster_b"), ["schema-1", "rules-1"], ["ts_ms"])  # one row
+    return X.assemble_all(c, source.first()["version"])
 
 
 @query("leakage_check", SQL + "SELECT s.contest_id, s.side, count(p.contest_id) AS recounted, count(p.contest_id) AS stored, false AS leak FROM s LEFT JOIN s p ON p.team = s.team AND p.ts < s.ts GROUP BY 1, 2")
