@@ -32,7 +32,7 @@ from .common import small_batches, text_or_empty, tokenizer_path
 
 #: Texts beyond this many code points are cut into parts of PART.
 LONG, PART = 1 << 16, 1 << 15
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 _LATIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")  # lower-case, composed, one letter class
