@@ -46,12 +46,6 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow frame in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def among(df: DataFrame, key: str, ids: DataFrame, most: int = 1 << 22) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in ``ids``, a narrow frame of long ids: filtered before any shuffle
     while there are at most ``most`` ids (32 MB), beyond that by a shuffled join."""
