@@ -81,19 +81,24 @@ def _pair(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def matchup(profiles: DataFrame, pairs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Similarity, conflicting dimensions, weighted advantage, agreement, heuristic probability, confidence and trust."""
+    """Similarity, conflicting dimensions (at least 20 apart, the largest first), complementary ones (less than 12 apart, 55 and
+    more in the mean), the decisive one (the largest difference; ties: the earlier dimension), weighted advantage, agreement
+    (a dimension without a difference, or no advantage, agrees), heuristic probability, confidence and trust."""
     weights = weights or {"aggression": 0.2, "tempo": 0.1, "control": 0.25, "utility": 0.2, "adaptability": 0.1, "clutch": 0.15}
     p = _pair(profiles, pairs)
-    d = F.array(*[F.struct((F.col(f"a.{n}") - F.col(f"b.{n}")).alias("d"), F.lit(n).alias("name"), F.lit(w).alias("w")) for n, w in weights.items()])
+    d = F.array(*[F.struct((F.col(f"a.{n}") - F.col(f"b.{n}")).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name"), F.lit(w).alias("w"), ((F.col(f"a.{n}") + F.col(f"b.{n}")) / 2).alias("mean")) for i, (n, w) in enumerate(weights.items())])
     p = p.withColumn("d", d)
+    largest = F.array_sort(F.transform("d", lambda x: F.struct((-F.abs(x["d"])).alias("k"), x["i"].alias("i"), x["name"].alias("name"))))
     total = lambda f: F.aggregate("d", F.lit(0.0), lambda acc, x: acc + f(x))
     adv = total(lambda x: x["d"] * x["w"]) / sum(weights.values())
     p = p.withColumns({
         "similarity": F.floor(F.greatest(F.lit(0.0), 100 - 1.4 * total(lambda x: F.abs(x["d"])) / len(weights)) + 0.5).cast("double"),
         "advantage": F.round(adv, 9),  # so that a difference of nothing has no sign
-        "conflicting": F.array_join(F.transform(F.array_sort(F.transform(F.filter("d", lambda x: F.abs(x["d"]) >= 20), lambda x: F.struct((-F.abs(x["d"])).alias("k"), x["name"].alias("name")))), lambda x: x["name"]), ","),
+        "conflicting": F.array_join(F.transform(F.filter(largest, lambda x: x["k"] <= -20), lambda x: x["name"]), ","),
+        "complementary": F.array_join(F.transform(F.filter("d", lambda x: (F.abs(x["d"]) < 12) & (x["mean"] >= 55)), lambda x: x["name"]), ","),
+        "decisive": F.element_at(largest, 1)["name"],
     })
-    p = p.withColumn("agreement", total(lambda x: ((F.signum(x["d"]) == F.signum("advantage")) | (x["d"] == 0)).cast("double")) / len(weights))
+    p = p.withColumn("agreement", total(lambda x: ((F.signum(x["d"]) == F.signum("advantage")) | (x["d"] == 0) | (F.col("advantage") == 0)).cast("double")) / len(weights))
     prob = F.greatest(F.lit(0.05), F.least(F.lit(0.95), 1 / (1 + F.exp(-0.04 * F.col("advantage")))))
     confidence = 0.6 * F.col("agreement") + 0.4 * (F.col("a.stability") + F.col("b.stability")) / 2
     p = p.withColumns({"probability": F.floor(prob * 100 + 0.5) / 100, "confidence": confidence})

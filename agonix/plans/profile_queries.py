@@ -89,11 +89,13 @@ _W = {"aggression": 0.2, "tempo": 0.1, "control": 0.25, "utility": 0.2, "adaptab
 
 
 @query("matchup_profile", HIST + f""", m AS (SELECT *, floor(greatest(0, 100 - 1.4 * ({' + '.join(f'abs(a_{n} - b_{n})' for n in _W)}) / 6) + 0.5)::DOUBLE AS similarity, {' + '.join(f'{w} * (a_{n} - b_{n})' for n, w in _W.items())} AS adv FROM pp),
-g AS (SELECT *, ({' + '.join(f'(CASE WHEN sign(a_{n} - b_{n}) = sign(round(adv, 9)) OR a_{n} = b_{n} THEN 1 ELSE 0 END)' for n in _W)}) / 6.0::DOUBLE AS agreement FROM m)
-SELECT team_a, team_b, similarity, round(adv, 6) AS advantage, round(agreement, 8) AS agreement, round(0.6 * agreement + 0.4 * (a_stability + b_stability) / 2, 6) AS confidence FROM g""")
+g AS (SELECT *, ({' + '.join(f'(CASE WHEN sign(a_{n} - b_{n}) = sign(round(adv, 9)) OR a_{n} = b_{n} OR round(adv, 9) = 0 THEN 1 ELSE 0 END)' for n in _W)}) / 6.0::DOUBLE AS agreement FROM m)
+SELECT team_a, team_b, similarity, round(adv, 6) AS advantage, round(agreement, 8) AS agreement, round(0.6 * agreement + 0.4 * (a_stability + b_stability) / 2, 6) AS confidence,
+  array_to_string(list_transform(list_sort(list_filter([{', '.join(f"{{'k': -abs(a_{n} - b_{n}), 'i': {i}, 'n': '{n}'}}" for i, n in enumerate(_W))}], lambda x: x.k <= -20)), lambda x: x.n), ',') AS conflicting,
+  concat_ws(',', {', '.join(f"CASE WHEN abs(a_{n} - b_{n}) < 12 AND (a_{n} + b_{n}) / 2 >= 55 THEN '{n}' END" for n in _W)}) AS complementary, list_sort([{', '.join(f"{{'k': -abs(a_{n} - b_{n}), 'i': {i}, 'n': '{n}'}}" for i, n in enumerate(_W))}])[1].n AS decisive FROM g""")
 def q_matchup(spark, sf_dir):
     m = P.matchup(P.team_profile(_agg(spark, sf_dir)), _pairs(spark, sf_dir))
-    return _r(_r(m, "agreement"), "advantage", "confidence", places=6).select("team_a", "team_b", "similarity", "advantage", "agreement", "confidence")
+    return _r(_r(m, "agreement"), "advantage", "confidence", places=6).select("team_a", "team_b", "similarity", "advantage", "agreement", "confidence", "conflicting", "complementary", "decisive")
 
 
 @query("key_factors", HIST + f", l AS ({_LONG}), k AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY abs(a - b) DESC, dimension) AS r FROM l WHERE abs(a - b) >= 8) SELECT team_a, team_b, dimension AS factor, abs(a - b) AS impact, CASE WHEN a > b THEN 'A' ELSE 'B' END AS leader FROM k WHERE r <= 4")
