@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from agonix.functions.shared import stored
 from agonix.functions.windows import with_last_rows
 from agonix.operators import features as X
 from agonix.operators import profiles as P
@@ -146,14 +147,18 @@ st AS (SELECT l.team, n AS contests, elo, 100 * CASE WHEN last10_contests > 0 TH
 
 def _sides_in_window(spark, sf_dir, real: bool):
     """What power_state() reads, from the window's start on; the rating is the real one or the win rate on its scale."""
-    c = contests(spark, sf_dir)
-    s = X.rounds(X.leg_pool(X.recent_form(X.record(X.sides(c)))))
+    c = stored(accepted(contests(spark, sf_dir)), "contests")
+    r = X.record(X.sides(c))
+    s = X.rounds(X.leg_pool(X.recent_form(r))).drop("legs", "roster")
     if real:
-        s = R.opponent_strength(s, R.elo(c))
+        s = s.join(R.opponent_strength(r, R.elo(c)).select("contest_id", "side", "elo", "avg_opp_elo_last10"), ["contest_id", "side"])
     else:
-        other = s.select("contest_id", F.col("team").alias("opp"), F.col("win_rate").alias("opp_rate"))
-        s = with_last_rows(s.join(other, ["contest_id", "opp"]), {"r10": (F.avg("opp_rate"), 10)}, ["team"], ["contest_id", "side"])
+        a = F.col("side") == "A"
+        met = r.groupBy("contest_id").agg(F.max(F.when(a, F.col("win_rate"))).alias("_rate_a"), F.max(F.when(~a, F.col("win_rate"))).alias("_rate_b"))
+        opp = r.select("contest_id", "side", "team", "ts_ms").join(met, "contest_id").withColumn("opp_rate", F.when(a, F.col("_rate_b")).otherwise(F.col("_rate_a")))
+        opp = with_last_rows(opp, {"r10": (F.avg("opp_rate"), 10)}, ["team"], ["contest_id", "side"])
         scale = lambda rate: 1500 + 400 * (rate - 0.5)
+        s = s.join(opp.select("contest_id", "side", "r10"), ["contest_id", "side"])
         s = s.withColumns({"elo": scale(F.col("win_rate")), "avg_opp_elo_last10": scale(F.coalesce("r10", F.lit(0.5)))})
     flags = {"is_major": F.col("family") == "MACHINERY", "is_international": F.col("level") == "international", "is_league": F.col("level") == "league"}
     return s.where(F.col("ts") >= F.lit(_WINDOW).cast("timestamp_ntz")).withColumns(flags)

@@ -14,7 +14,9 @@ from .base import query
 @query("elo_ratings")
 def q_elo(spark, sf_dir):
     """One rating per team over all its history."""
-    return R.with_elo(contests(spark, sf_dir)).select("contest_id", *[F.round(c, 6).alias(c) for c in ("elo_a", "elo_b", "median_elo", "elo_diff", "elo_p")])
+    diff = F.col("elo_a") - F.col("elo_b")
+    e = R.elo(contests(spark, sf_dir)).withColumns({"elo_diff": diff, "elo_p": R.elo_p(diff)})
+    return e.select("contest_id", *[F.round(c, 6).alias(c) for c in ("elo_a", "elo_b", "median_elo", "elo_diff", "elo_p")])
 
 
 @query("opponent_strength")
