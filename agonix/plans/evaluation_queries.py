@@ -150,8 +150,8 @@ def q_extremes(spark, sf_dir):
 @query("bootstrap_intervals")
 def q_boot(spark, sf_dir):
     """The form predictor and its difference from the rating."""
-    elo = R.with_elo(contests(spark, sf_dir)).select("contest_id", "elo_p")
-    return M.bootstrap(predictions(spark, sf_dir).join(elo, "contest_id"))
+    e = R.elo(contests(spark, sf_dir), median=False)
+    return M.bootstrap(predictions(spark, sf_dir).join(e.select("contest_id", R.elo_p(F.col("elo_a") - F.col("elo_b")).alias("elo_p")), "contest_id"))
 
 
 @query("run_stats", """WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
