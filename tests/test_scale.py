@@ -9,7 +9,9 @@ import pytest
 
 from agonix.operators import asof
 from agonix.operators import features as X
+from agonix.operators import ml as ML
 from agonix.operators import rating as R
+from pyspark.ml.linalg import Vectors
 
 DAY = 86_400_000
 
@@ -69,3 +71,14 @@ def test_side_windows_carry_no_legs(spark, sf):
     plan = s._jdf.queryExecution().optimizedPlan().toString()
     below = [line for line in plan.splitlines() if re.match(r"[\s:+-]*Window ", line)]
     assert below and not any("recognized" in line for line in below)
+
+
+def test_partners_are_found_by_ids_alone(spark):
+    """No window over the orders has the vectors among its rows; every row is some row's partner once."""
+    rows = [(i, float(i % 2), Vectors.dense([float(i), float(i * i)])) for i in range(200)]
+    p = ML.shuffled_partners(spark.createDataFrame(rows, ["contest_id", "y", "features"]), 3)
+    got = p.collect()
+    assert sorted(r.contest_id for r in got) == [*range(200)] == sorted(int(r.other[0]) for r in got)
+    lines = p._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    under = [lines[i + 1] for i, line in enumerate(lines) if re.match(r"[\s:|+-]*Window ", line)]
+    assert under and not any("features" in line for line in under)
