@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agonix.functions.shared import stored
 from agonix.functions.windows import with_running_sum
 
 EPS = 1e-15
@@ -120,7 +121,7 @@ def error_extremes(pred: DataFrame, n: int = 10) -> DataFrame:
     from the rating's, by at least DISAGREEMENT. ``confidence`` is the distance from 0.5, or from the rating's probability."""
     sure = F.abs(F.col("p") - 0.5)
     right = (F.col("p") >= 0.5) == (F.col("y") == 1)
-    p = pred.withColumns({"confidence": sure, "right": right})
+    p = stored(pred.withColumns({"confidence": sure, "right": right}), "analysed")  # three selections read it
     keep = ["contest_id", "p", "y", "confidence"]
     worst = p.where("not right").select(*keep).orderBy(F.desc("confidence"), "contest_id").limit(n).withColumn("kind", F.lit("confident-wrong"))
     out = worst.unionByName(p.where("right").select(*keep).orderBy("confidence", "contest_id").limit(n).withColumn("kind", F.lit("unsure-right")))

@@ -125,7 +125,7 @@ _ANALYSED = FEATURE_SQL + """, pa AS (SELECT contest_id, round(greatest(0.05, le
 
 
 def _analysed(spark, sf_dir):
-    f = X.assemble(contests(spark, sf_dir))
+    f = X.error_inputs(contests(spark, sf_dir))
     p = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.95), 0.5 + (F.col("a_win_rate") - F.col("b_win_rate")) / 2)), 4)
     elo = 1 / (1 + F.pow(F.lit(10.0), -(F.col("a_last3_win_rate") - F.col("b_last3_win_rate"))))
     return f.select("contest_id", p.alias("p"), F.col("a_won").cast("int").alias("y"), (F.col("a_is_cold_start") | F.col("b_is_cold_start")).alias("cold"), "level", "series_format", "rest_difference_days", F.lit(False).alias("roster_missing"), elo.alias("elo_p"))
