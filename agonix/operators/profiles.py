@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agonix.functions.shared import stored
 from agonix.functions.windows import with_place, with_running_sum
 
 DIMENSIONS = ["aggression", "tempo", "control", "utility", "adaptability", "clutch"]
@@ -197,7 +198,9 @@ def power_rankings(teams: DataFrame, state: DataFrame) -> DataFrame:
     ten contests, and what is missing to ten costs up to 15 points. Terms are rounded to two places. A team without a
     state is unrated and scores 0. Order: score, the rating's term, team.
 
-    teams: team, region, verified; state: power_state()."""
+    teams: team, region, verified; state: power_state(), a table first (one row per team), as means and terms read it and it
+    stands for the whole history."""
+    state = stored(state, "state")
     parts = [k for k in TERMS if k != "base"]
     means = state.agg(*[F.coalesce(F.avg(k), F.lit(50.0)).alias(f"m_{k}") for k in parts])
     t = teams.join(state, "team", "left").join(F.broadcast(means))  # one row

@@ -147,7 +147,8 @@ st AS (SELECT l.team, n AS contests, elo, 100 * CASE WHEN last10_contests > 0 TH
 
 def _sides_in_window(spark, sf_dir, real: bool):
     """What power_state() reads, from the window's start on; the rating is the real one or the win rate on its scale."""
-    c = stored(accepted(contests(spark, sf_dir)), "contests")
+    c = accepted(contests(spark, sf_dir))
+    c = stored(c.withColumns({n: F.array().cast("array<bigint>") for n in ("roster_a", "roster_b")}), "contests")  # no state reads rosters
     r = X.record(X.sides(c))
     s = X.rounds(X.leg_pool(X.recent_form(r))).drop("legs", "roster")
     if real:
