@@ -40,3 +40,40 @@ def test_error_inputs_are_those_of_the_feature_table(spark, sf, monkeypatch):
     e = X.error_inputs(contests(spark, sf))
     assert sorted(e.collect()) == sorted(f.select(*e.columns).collect())
     assert tables and not {"legs", "roster_a", "roster_b"} & {n for t in tables for n in t}
+
+
+def test_bounds_are_the_splits_and_safe_folds(spark, sf):
+    from agonix.operators import splits as S
+
+    for n in (0, 1, 7, 61):
+        f = spark.createDataFrame([(i * 7 % 61, 86_400_000 * (i // 9) + i % 2) for i in range(n)], "contest_id long, ts_ms long")
+        split = S.chrono_split(f)
+        parts, folds = S.bounds(f)
+        assert n == 0 or {(r.contest_id, k) for k, own in parts.items() for r in f.where(own).collect()} == {(r.contest_id, r.split) for r in split.collect()}
+        got = {(k, role, r.contest_id) for k, both in folds.items() for role, own in zip(("train", "validation"), both, strict=True) for r in f.where(own).collect()}
+        want = {(r.fold_id, r.role, r.contest_id) for r in S.safe_folds(S.walk_forward(f), split).collect()}
+        assert got == {w for w in want if w[0] in {k for k, role, _ in want if role == "validation"}}
+
+
+def test_the_audit_computes_its_table_once(spark):
+    from agonix.operators import ml as ML
+    from agonix.operators import splits as S
+    from agonix.operators.audit import model_audit
+
+    rows = [(i, 86_400_000 * i, i % 5, 5 + i % 3, 2020, "ab"[i % 2], float(i % 11), i % 2) for i in range(40)]
+    plain = spark.createDataFrame(rows, "contest_id long, ts_ms long, side_a long, side_b long, season_year long, family string, x double, a_won long")
+    f, seen = counted(spark, plain, "side_b")
+    policy = ML.feature_policy(f)
+    got = sorted(map(str, model_audit(f, policy).collect()))
+    assert seen.value == 40
+    assert got == sorted(map(str, model_audit(plain, policy, S.chrono_split(plain)).collect()))
+
+
+def test_training_writes_no_vectors(spark, monkeypatch):
+    from agonix.operators import training as T
+    from tests.test_training import table
+
+    kinds, keep = [], T.stored
+    monkeypatch.setattr(T, "stored", lambda df, name, by=None: kinds.extend(t for _, t in df.dtypes) or keep(df, name, by))
+    T.train_models(table(spark, 120), "d", trees=1)
+    assert kinds and "vector" not in kinds
