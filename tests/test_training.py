@@ -125,6 +125,53 @@ def test_importance_equals_a_shuffle_by_hand(spark, trained):
     assert c.where("kind = 'positive'").orderBy(F.desc("weight")).first().field == "n_x"
 
 
+def test_preparation_counts_digits(spark, monkeypatch):
+    """Medians are exact and no aggregate keeps a column's values."""
+    monkeypatch.setattr(ML.F, "percentile", lambda *a: pytest.fail("an aggregate that keeps all values"))
+    r = random.Random(4)
+    rows = [(r.gauss(0, 1) * 10 ** r.randint(-300, 300), -float(i % 7), i % 4 - 2, None if i % 2 else 0.1 * i, 5.0, None, float("-inf") if i < 3 else -0.0, i % 5 == 0, "xyz"[i % 3] if i else None) for i in range(1001)]
+    names = ["wide", "ties", "whole", "gaps", "same", "nothing", "odd", "flag", "word"]
+    f = spark.createDataFrame(rows, "wide double, ties double, whole long, gaps double, same double, nothing double, odd double, flag boolean, word string")
+    policy = {"numeric": names[:7], "boolean": ["flag"], "categorical": ["word"]}
+    p = ML.fit_prep(f.repartition(3), policy)
+    for i, n in enumerate(names[:7]):
+        own = [x[i] for x in rows if x[i] is not None]
+        assert p["median"][n] == (np.median(own) if own else 0.0), n
+        if n not in ("wide", "odd"):
+            filled = [p["median"][n] if x[i] is None else x[i] for x in rows]
+            assert (p["mean"][n], p["std"][n]) == (pytest.approx(np.mean(filled), abs=1e-12), pytest.approx(np.std(filled) or 1.0, abs=1e-12))
+    assert p["missing"] == ["gaps", "nothing"] and p["vocabulary"] == {"word": ["x", "y", "z"]}
+    assert ML.fit_prep(f.limit(0), policy)["median"]["wide"] == 0.0
+    v = ML.apply_prep(f.where("flag").limit(1), {**p, "mean": p["mean"] | {"wide": 0.0, "odd": 0.0}, "std": p["std"] | {"wide": 1.0, "odd": 1.0}}, ["ties"]).first()
+    assert len(v.features) == len(ML.encoded_names(p)) and v.features[ML.encoded_names(p).index("b_flag")] == 1.0
+    with pytest.raises(Exception, match="NaN"):
+        ML.apply_prep(f.withColumn("same", F.lit(float("nan"))), p, []).collect()
+
+
+def test_importance_of_trees_is_theirs(spark, trained, monkeypatch):
+    """As scored by the model itself, though no row is multiplied by the places."""
+    f, _ = trained
+    policy = ML.feature_policy(f)
+    y = f.withColumn("y", F.col("a_won").cast("double"))
+    prep = ML.fit_prep(y, policy)
+    x = ML.apply_prep(y, prep, ["contest_id", "ts_ms", "y"]).cache()
+    names, model = ML.encoded_names(prep), ML.fit_trees(x, 3, 0.1, 6)
+    rows = ML.shuffled_partners(x, 0).select("y", vector_to_array("features").alias("a"), vector_to_array("other").alias("b")).collect()
+    place = names.index("n_x")
+    swapped = spark.createDataFrame([(r.y, [*r.a[:place], r.b[place], *r.a[place + 1 :]]) for r in rows], "y double, a array<double>")
+    from pyspark.ml.functions import array_to_vector
+
+    from agonix.operators.metrics import probability_metrics
+
+    loss = lambda df: probability_metrics(ML.with_p(model, df, ["y"])).first().log_loss
+    want = loss(swapped.select("y", array_to_vector("a").alias("features"))) - loss(x)
+    monkeypatch.setattr(ML, "with_p", lambda *a: pytest.fail("rows are scored once a place"))
+    got = {r.field: r.importance for r in ML.permutation_importance(model, x, names, repeats=1).collect()}
+    assert set(got) == set(names) and got["n_x"] == pytest.approx(want, abs=1e-12) and want > 0.01
+    used = {k for t in model.trees for k, v in enumerate(t.featureImportances.toArray()) if v}
+    assert all(got[n] == 0 for i, n in enumerate(names) if i not in used)
+
+
 def test_audit_finds_what_was_planted(spark):
     f = table(spark, 300).withColumns({
         "twin": F.col("x"), "near": F.col("x") * 2 + 0.001 * F.col("elo_p"), "same": F.lit(4.0), "nothing": F.lit(None).cast("double"), "rare": F.when(F.col("contest_id") == 7, 1.0).otherwise(0.0),
