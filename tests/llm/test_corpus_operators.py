@@ -198,3 +198,20 @@ def test_toxicity_folding_phrases_and_held_out_rows(spark):
     empty = fit(df.where("false"))
     assert max(x.score for x in empty.score(df, ["doc_id"]).collect()) < 0.5 and empty.score(df.where("false"), ["doc_id"]).count() == 0
     assert 0.1 < df.agg(F.avg(held_out().cast("int"))).first()[0] < 0.3
+
+
+def test_near_duplicates_keep_no_sketches_twice(spark, tmp_path, monkeypatch):
+    """Sketches go once the classes have them, and both ways to bring the retained values together give the same."""
+    from agonix.llm import common, near_dedup
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(40)) for _ in range(30)]
+    rows = [(i, texts[i % 30] + (" end" if i % 4 == 0 else "")) for i in range(90)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(near_dedup, "_FEW_VALUES", most)
+        monkeypatch.setattr(common, "shared_dir", lambda spark, most=most: f"file://{tmp_path}/{most}")
+        got.append(sorted(near_duplicates(docs, words=2).collect()))
+        left = [p.name for p in (tmp_path / str(most)).iterdir()]
+        assert any("classes" in n for n in left) and not any("sketches" in n for n in left)
+    assert got[0] == got[1] and len(got[0]) == 90

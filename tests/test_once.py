@@ -77,3 +77,19 @@ def test_training_writes_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(T, "stored", lambda df, name, by=None: kinds.extend(t for _, t in df.dtypes) or keep(df, name, by))
     T.train_models(table(spark, 120), "d", trees=1)
     assert kinds and "vector" not in kinds
+
+
+def test_a_stored_table_leaves_no_shuffle(spark, tmp_path):
+    from pathlib import Path
+
+    from agonix.functions.shared import stored
+    from agonix.llm.common import stored as also
+
+    base = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    key, files = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", lambda: {f for f in base.rglob("shuffle_*.data")}
+    before = spark.conf.get(key)
+    old = files()
+    for keep in (stored, also):
+        kept = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        assert {r["count"] for r in kept.collect()} == {142, 143} and not files() - old
+    assert spark.conf.get(key) == before
