@@ -93,3 +93,13 @@ def test_a_stored_table_leaves_no_shuffle(spark, tmp_path):
         kept = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
         assert {r["count"] for r in kept.collect()} == {142, 143} and not files() - old
     assert spark.conf.get(key) == before
+
+
+def test_as_of_steps_are_tables(spark, sf):
+    """No shuffle of one block of windows is kept while another one runs."""
+    from agonix.operators.asof import matchup_asof
+    from agonix.plans.asof_queries import requests
+
+    c = contests(spark, sf)
+    f = matchup_asof(c, requests(c), rated=False)
+    assert "Window" not in f._jdf.queryExecution().optimizedPlan().toString()
